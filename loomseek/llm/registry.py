@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomseek.llm import mixing, sharding
+from loomseek.llm import chat, media, mixing, secrets, sharding, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_minimax_shards": sharding.op3, "op10_pareto_mix": mixing.op10}
+    return {
+        "op2_prefix_target_chat": chat.op2,
+        "op3_minimax_shards": sharding.op3,
+        "op4_content_addressed_warc": warc.op4,
+        "op8_entropy_secrets": secrets.op8,
+        "op9_wav_fingerprints": media.op9,
+        "op10_pareto_mix": mixing.op10,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_prefix_target_chat": chat.SQL, "op4_content_addressed_warc": warc.SQL}
