@@ -7,7 +7,7 @@ count nothing. The sum is divided by the text's length in words, and a logistic
 
 The lexicon starts from a few fixed entries and learns the others from labels: words and word beginnings
 whose share among toxic documents is clearly above their share among others (a lower confidence bound on the
-log ratio, which is the weight). Learning uses at most ``SAMPLE`` labelled rows, those with the smallest hashes of the id, so
+log ratio). Learning uses at most ``SAMPLE`` labelled rows, those with the smallest hashes of the id, so
 the lexicon (at most ``ENTRIES`` entries) and all that reaches the driver have fixed bounds. Scoring covers whole texts
 of all documents.
 
@@ -43,12 +43,12 @@ HOMOGLYPHS = {
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "l"}
 #: Fixed entries, with one weight, and phrases in which entries are harmless.
 INSULTS = ("idiot", "moron", "stupid", "imbecile", "scum", "loser", "pathetic", "worthless", "disgusting")
-INSULT_WEIGHT = 1.0
+INSULT_WEIGHT = 4.0
 EXCEPTIONS = ("scum line", "pond scum", "loser bracket", "trash can", "trash bin", "clown fish", "stupid question")
 _FOLD = str.maketrans({chr(0xFF01 + i): chr(0x21 + i) for i in range(94)} | {x: k for k, v in HOMOGLYPHS.items() for x in v} | SIGNS)
 _WORD = re.compile(r"\w+")
 #: Lengths of word beginnings that are tried, the flush of a task's counts, and what an entry must show.
-PREFIXES, HELD, LEAST_DOCS, SIGMAS, LEAST_BOUND = (3, 4, 5, 6, 7, 8), 200_000, 3, 3.0, 0.2
+PREFIXES, HELD, LEAST_DOCS, SIGMAS, LEAST_BOUND = (3, 4, 5, 6, 7, 8), 200_000, 3, 3.0, 0.8
 #: The share of documents from which on a longer entry explains a shorter one.
 SAME = 0.9
 #: Words that are added to every length, and the curve used without labels.
@@ -175,7 +175,7 @@ def learn_entries(sample: DataFrame, most: int = ENTRIES) -> dict[tuple[str, boo
     ratio = F.log((F.col("pos") + 0.5) / (size["pos"] + 1)) - F.log((F.col("neg") + 0.5) / (size["neg"] + 1))
     spread = F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
     best = counts.where("word <> ''").withColumns({"weight": ratio, "bound": ratio - SIGMAS * spread}).where(F.col("bound") > LEAST_BOUND).orderBy(F.desc("bound"), "word", "whole").limit(most).collect()
-    found = {(r["word"], r["whole"]): (r["bound"], r["pos"]) for r in best}
+    found = {(r["word"], r["whole"]): (r["weight"], r["pos"]) for r in best}
     # A beginning that one longer entry explains gives way to it: it would only match more words.
     longer: Counter = Counter()
     for (w, whole), (_, pos) in found.items():
