@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomseek.llm import chat, media, mixing, secrets, sharding, toxicity, warc
+from loomseek.llm import chat, media, minhash, mixing, secrets, sharding, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_prefix_target_chat": chat.op2,
         "op3_minimax_shards": sharding.op3,
         "op4_content_addressed_warc": warc.op4,
+        "op5_bbit_minhash": minhash.op5,
         "op7_folded_lexicon": toxicity.op7,
         "op8_entropy_secrets": secrets.op8,
         "op9_wav_fingerprints": media.op9,
@@ -22,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_prefix_target_chat": chat.SQL, "op4_content_addressed_warc": warc.SQL}
+    return {"op2_prefix_target_chat": chat.SQL, "op4_content_addressed_warc": warc.SQL, "op5_bbit_minhash": minhash.SQL}
