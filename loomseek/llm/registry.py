@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomseek.llm import chat, media, minhash, mixing, secrets, sharding, toxicity, warc
+from loomseek.llm import chat, decontamination, media, minhash, mixing, secrets, sharding, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_minimax_shards": sharding.op3,
         "op4_content_addressed_warc": warc.op4,
         "op5_bbit_minhash": minhash.op5,
+        "op6_size_partitioned_containment": decontamination.op6,
         "op7_folded_lexicon": toxicity.op7,
         "op8_entropy_secrets": secrets.op8,
         "op9_wav_fingerprints": media.op9,
@@ -23,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_prefix_target_chat": chat.SQL, "op4_content_addressed_warc": warc.SQL, "op5_bbit_minhash": minhash.SQL}
+    return {"op2_prefix_target_chat": chat.SQL, "op4_content_addressed_warc": warc.SQL, "op5_bbit_minhash": minhash.SQL, "op6_size_partitioned_containment": decontamination.SQL}
