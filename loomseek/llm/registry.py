@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomseek.llm import chat, decontamination, media, minhash, mixing, secrets, sharding, toxicity, warc
+from loomseek.llm import chat, decontamination, media, minhash, mixing, passages, secrets, sharding, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_collinear_passages": passages.op1,
         "op2_prefix_target_chat": chat.op2,
         "op3_minimax_shards": sharding.op3,
         "op4_content_addressed_warc": warc.op4,
