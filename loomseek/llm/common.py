@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomseek import session
+
 #: A word is a run of anything but space, tab, newline, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -37,7 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches that Python workers get, unless the session has lower bounds already."""
+    """Ships the package to Python workers and bounds the Arrow batches that they get, unless the session has lower bounds already."""
+    session.ship(spark)
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
         now = spark.conf.get(key, None)
         if now is None or not now.isdigit() or int(now) <= 0 or int(now) > most:
@@ -82,6 +85,7 @@ def in_order(df: DataFrame, order: Sequence[str], sums: Sequence[str], within: s
     in it) are added afterwards. With ``within``, the first column of the order, sums start anew for each of its values.
     ``order`` should end in a column that differs between rows, or a large group of ties lands in one task.
     """
+    small_batches(df.sparkSession)
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     schema = T.StructType([*df.schema.fields, T.StructField("part_", T.IntegerType()), *(T.StructField(f"run_{c}", T.LongType()) for c in sums)])
     local = staged(ranged.mapInArrow(_running(list(sums), within), schema), "ordered")
