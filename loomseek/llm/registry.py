@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from loomseek.llm import chat, decontamination, media, minhash, mixing, passages, secrets, sharding, toxicity, warc
@@ -21,8 +22,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_entropy_secrets": secrets.op8,
         "op9_wav_fingerprints": media.op9,
         "op10_pareto_mix": mixing.op10,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_prefix_target_chat": chat.SQL, "op4_content_addressed_warc": warc.SQL, "op5_bbit_minhash": minhash.SQL, "op6_size_partitioned_containment": decontamination.SQL}
+    found = {
+        "op2_prefix_target_chat": chat.SQL,
+        "op4_content_addressed_warc": warc.SQL,
+        "op5_bbit_minhash": minhash.SQL,
+        "op6_size_partitioned_containment": decontamination.SQL,
+    }
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
