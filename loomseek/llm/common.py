@@ -77,6 +77,22 @@ def crc32(text: Column) -> Column:
     return F.crc32(F.coalesce(text, F.lit("")).cast("binary")).cast("long")
 
 
+#: 64-bit words of a sieve: a bitmap of fixed size, so what is broadcast is bounded however much is wanted.
+SIEVE_WORDS = 1 << 18
+
+
+def sieve(rows: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:
+    """rows without most of those whose key is not in wanted (one column), before a join shuffles them.
+
+    A bitmap of hashes, of at most SIEVE_WORDS rows, is broadcast; rows that pass by chance are left to the join.
+    """
+    place = lambda k: (F.pmod(F.shiftrightunsigned(F.xxhash64(k), 6), F.lit(SIEVE_WORDS)), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(k), F.lit(64)).cast("int")))
+    word, bit = place(F.col(wanted.columns[0]))
+    words = wanted.select(word.alias("word_"), bit.alias("bit_")).groupBy("word_").agg(F.bit_or("bit_").alias("bits_"))
+    word, bit = place(key)
+    return rows.join(F.broadcast(words), (word == F.col("word_")) & (F.col("bits_").bitwiseAND(bit) != 0), "left_semi")
+
+
 def in_order(df: DataFrame, order: Sequence[str], sums: Sequence[str], within: str | None = None) -> DataFrame:
     """Adds, by the global order of the columns ``order``, inclusive running sums ``run_<c>`` of the columns ``sums``.
 

@@ -7,11 +7,13 @@ linked, and linked documents form components.
 1. One pass over the texts makes, for each document, the number of shingles, 160 minima, of which 40 band
    keys (four full minima each) and the two low bits of each minimum are kept: 40 bytes of signature.
 2. Equal texts form classes; one representative of each goes on.
-3. Representatives that share a band key meet at the smallest one of the bucket (a star, not all pairs). The
-   collision-corrected estimate from the signatures' bit counts and the set sizes drop hopeless candidates (the
+3. Representatives that share a band key meet at one hub of the bucket, the one whose bands are shared most (a star,
+   not all pairs). The collision-corrected estimate from the signatures' bit counts and the set sizes drop hopeless candidates (the
    cut lies more than five standard errors below the threshold); the rest is verified on the full sets.
-4. Links within a bucket that no star shows are looked for only between members of different components: in
-   small buckets pair by pair; large ones are first split by a second and a third shared band.
+4. The texts that resemble a hub at all form its family. Where a family has members of different components, links
+   between them are looked for by exact counts of common shingles, in pairs of blocks of bounded size; no pair
+   is passed on but links. Two similar texts share a dozen bands on average; for the two to meet in no
+   family, each of those buckets would need a hub that resembles neither.
 
 A pair at the threshold shares no band with probability (1 - 0.75^4)^40 = 2.5e-7.
 
@@ -38,8 +40,8 @@ MINIMA = BANDS * ROWS
 WORDS_64 = MINIMA * BITS // 64
 #: Link at 100 * common >= PERCENT * union; estimates below LEAST_ESTIMATE are hopeless (standard error 0.041 at 0.75).
 PERCENT, LEAST_ESTIMATE = 75, 0.52
-#: Members up to which a bucket is compared pair by pair at once.
-SMALL = 64
+#: Estimated similarity to a hub from which a text belongs to its family, and texts in a block of a family.
+FAMILY_ESTIMATE, BLOCK = 0.35, 1000
 _LOW_BITS = 0x5555555555555555
 _LOWER = bytes.maketrans(common.UPPER.encode(), common.LOWER.encode())
 _M = (1 << 64) - 1
@@ -153,45 +155,80 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select([0, 1]).take(pa.array(keep, pa.int64()))
 
 
-def _linked(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Of the candidate pairs (a, b) of row numbers, those that are linked."""
+def _estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs (a, b) of row numbers with both set sizes and the estimated similarity."""
     sig = reps.select(F.col("row_"), "n_shingles", "sig_")
     left = sig.select(F.col("row_").alias("a"), F.col("n_shingles").alias("na_"), F.col("sig_").alias("sa_"))
     right = sig.select(F.col("row_").alias("b"), F.col("n_shingles").alias("nb_"), F.col("sig_").alias("sb_"))
-    near = pairs.join(left, "a").join(right, "b")
-    near = near.where((100 * F.least("na_", "nb_") >= PERCENT * F.greatest("na_", "nb_")) & (estimate("sa_", "sb_") >= LEAST_ESTIMATE)).select("a", "b")
-    near = common.staged(near, "candidates")
-    asked = near.select(F.col("a").alias("row_")).unionAll(near.select(F.col("b").alias("row_"))).distinct()
-    texts = common.staged(reps.select("row_", "text_").join(asked, "row_", "left_semi"), "candidate-texts")
-    whole = near.join(texts.select(F.col("row_").alias("a"), F.col("text_").alias("ta_")), "a").join(texts.select(F.col("row_").alias("b"), F.col("text_").alias("tb_")), "b")
-    return common.staged(whole.select("a", "b", "ta_", "tb_").mapInArrow(_verify, "a long, b long"), "links")
-
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na_", "nb_", estimate("sa_", "sb_").alias("estimate_"))
 
-def _star_pairs(members: DataFrame, hubs: DataFrame) -> DataFrame:
-    return members.join(hubs, "key_").where("row_ <> hub_").select(F.col("row_").alias("a"), F.col("hub_").alias("b")).distinct()
 
+def _families(stars: DataFrame, texts: DataFrame, found: DataFrame) -> DataFrame | None:
+    """Links between members of one hub that are in different components so far; None if no hub has such members.
 
-def _missing_pairs(members: DataFrame, bands: DataFrame, found: DataFrame) -> DataFrame | None:
-    """Pairs of members (key_, row_) of one bucket that are in different components so far; None if there are none."""
+    A hub's members are dealt to blocks, and each pair of blocks is one group of at most about 2 * BLOCK texts, which
+    a task compares by counting common shingles; of several links between two components it passes on one.
+    """
+    members = stars.select(F.col("b").alias("hub_"), F.col("a").alias("row_")).unionAll(stars.select(F.col("b").alias("hub_"), F.col("b").alias("row_")).distinct())
     at = members.join(found.select(F.col("node").alias("row_"), "component"), "row_", "left").withColumn("component", F.coalesce("component", "row_"))
-    at = common.staged(at, "members")
-    pairs = None
-    for level in range(3):
-        mixed = at.groupBy("key_").agg(F.min("component").alias("low_"), F.max("component").alias("high_"), F.count("*").alias("n_")).where("low_ < high_").select("key_", "n_")
-        at = common.staged(at.join(mixed, "key_"), "mixed-members")
-        if at.isEmpty():
-            break
-        small = at if level == 2 else at.where(F.col("n_") <= SMALL)
-        x, y = small.select("key_", F.col("row_").alias("a"), F.col("component").alias("ca_")), small.select("key_", F.col("row_").alias("b"), F.col("component").alias("cb_"))
-        these = x.join(y, "key_").where("a < b AND ca_ <> cb_").select("a", "b").distinct()
-        pairs = these if pairs is None else pairs.unionAll(these)
-        # In a large bucket, members meet again only where they share one more band.
-        large = at.where(F.col("n_") > SMALL).select(F.col("key_").alias("first_"), "row_", "component")
-        second = large.join(bands, "row_").where("key_ <> first_")
-        at = common.staged(second.select(F.xxhash64(F.least("first_", "key_"), F.greatest("first_", "key_"), F.lit(level)).alias("key_"), "row_", "component").distinct(), "members")
-        if at.isEmpty():
-            break
-    return None if pairs is None else pairs.distinct()
+    at = common.staged(at, "family-members")
+    mixed = at.groupBy("hub_").agg(F.min("component").alias("low_"), F.max("component").alias("high_"), F.count("*").alias("n_")).where("low_ < high_").select("hub_", F.ceil(F.col("n_") / BLOCK).cast("int").alias("blocks_"))
+    mixed = common.staged(mixed, "mixed-families")
+    if mixed.isEmpty():
+        return None
+    dealt = at.join(mixed, "hub_").withColumn("mine_", F.pmod(F.xxhash64("row_"), F.col("blocks_")).cast("int"))
+    dealt = dealt.withColumn("other_", F.explode(F.sequence(F.lit(0), F.col("blocks_") - 1)))
+    dealt = dealt.select("hub_", F.least("mine_", "other_").alias("i_"), F.greatest("mine_", "other_").alias("j_"), "mine_", "row_", "component").join(texts, "row_")
+    keys = ["hub_", "i_", "j_"]
+    return common.staged(dealt.select(*keys, "mine_", "row_", "component", "text_").repartition(*keys).sortWithinPartitions(*keys, "row_").mapInArrow(_compare, "a long, b long"), "family-links")
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes, key, held = WordHashes(), None, []
+
+    def close() -> pa.RecordBatch:
+        found = block_links(held, key is not None and key[1] == key[2])
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+    for b in batches:
+        for hub, i, j, mine, row, component, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if (hub, i, j) != key:
+                if held:
+                    yield close()
+                key, held = (hub, i, j), []
+            held.append((row, component, mine, shingle_hashes(text, hashes)))
+    if held:
+        yield close()
+
+
+def block_links(members: list[tuple[int, int, int, np.ndarray]], one_block: bool) -> list[tuple[int, int]]:
+    """Links between the components of (row, component, block, shingles): one for each pair of components that have any.
+
+    Pairs within a component need no test, and with ``one_block`` false neither do those within a block.
+    """
+    rows, groups, blocks = ([m[i] for m in members] for i in range(3))
+    group = np.unique(np.array(groups), return_inverse=True)[1]
+    if group.max(initial=0) == 0:
+        return []
+    block, sizes = np.array(blocks), np.array([len(m[3]) for m in members])
+    owner = np.repeat(np.arange(len(members)), sizes)
+    _, term = np.unique(np.concatenate([m[3] for m in members]), return_inverse=True)
+    order = np.argsort(term, kind="stable")
+    starts = np.searchsorted(term[order], np.arange(term.max() + 2))
+    posted = owner[order]
+    most = np.bincount(group).argmax()
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    out: dict[tuple[int, int], tuple[int, int]] = {}
+    for x in np.nonzero(group != most)[0]:
+        terms = term[ends[x] : ends[x + 1]]
+        both = np.bincount(np.concatenate([posted[starts[t] : starts[t + 1]] for t in terms]), minlength=len(members))
+        hit = (100 * both >= PERCENT * (sizes + sizes[x] - both)) & (group != group[x]) & (both > 0)
+        if not one_block:
+            hit &= block != block[x]
+        for y in np.nonzero(hit)[0]:
+            pair = (min(group[x], group[y]), max(group[x], group[y]))
+            out.setdefault(pair, (rows[x], rows[y]))
+    return sorted(out.values())
 
 
 def near_duplicates(docs: DataFrame, carry: bool = False) -> DataFrame:
@@ -201,17 +238,26 @@ def near_duplicates(docs: DataFrame, carry: bool = False) -> DataFrame:
     base = docs.select(F.monotonically_increasing_id().alias("row_"), docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).cast("binary").alias("text_"), common.text_key(F.coalesce(docs["text"], F.lit(""))).alias("class_"), *more)
     base = common.staged(signatures(base), "signatures")
     first = common.staged(base.where("n_shingles > 0").groupBy("class_").agg(F.min("row_").alias("rep_")), "classes")
-    reps = base.join(first.select(F.col("rep_").alias("row_")), "row_", "left_semi")
-    bands = common.staged(reps.select("row_", F.explode("bands_").alias("key_")), "bands")
-    hubs = common.staged(bands.groupBy("key_").agg(F.min("row_").alias("hub_"), F.count("*").alias("n_")).where("n_ > 1").drop("n_"), "hubs")
-    members = common.staged(bands.join(hubs, "key_"), "members")
-    links = _linked(members.where("row_ <> hub_").select(F.col("row_").alias("a"), F.col("hub_").alias("b")).distinct(), reps)
+    reps = base.select("row_", "n_shingles", "sig_", "bands_").join(first.select(F.col("rep_").alias("row_")), "row_", "left_semi")
+    reps = common.staged(reps, "representatives")
+    bands = reps.select("row_", F.explode("bands_").alias("key_"))
+    shared = common.staged(bands.groupBy("key_").agg(F.count("*").alias("n_")).where("n_ > 1"), "shared-bands")
+    members = common.staged(bands.join(shared, "key_"), "members")
+    # The text that others were made from has the most popular bands: as the hub it shows most links at once.
+    fame = members.groupBy("row_").agg(F.sum("n_").alias("fame_"))
+    hubs = members.select("key_", "row_").join(fame, "row_").groupBy("key_").agg(F.max_by("row_", F.struct(F.col("fame_"), -F.col("row_"))).alias("b"))
+    pairs = members.select("key_", F.col("row_").alias("a")).join(common.staged(hubs, "hubs"), "key_").where("a <> b").select("a", "b").distinct()
+    stars = common.staged(_estimated(pairs, reps).where(F.col("estimate_") >= FAMILY_ESTIMATE), "stars")
+    asked = stars.select(F.col("a").alias("row_")).unionAll(stars.select(F.col("b").alias("row_"))).distinct()
+    asked = common.staged(asked, "asked")
+    texts = common.staged(common.sieve(base.select("row_", "text_"), F.col("row_"), asked).join(asked, "row_", "left_semi"), "candidate-texts")
+    near = stars.where((100 * F.least("na_", "nb_") >= PERCENT * F.greatest("na_", "nb_")) & (F.col("estimate_") >= LEAST_ESTIMATE)).select("a", "b")
+    whole = near.join(texts.select(F.col("row_").alias("a"), F.col("text_").alias("ta_")), "a").join(texts.select(F.col("row_").alias("b"), F.col("text_").alias("tb_")), "b")
+    links = common.staged(whole.select("a", "b", "ta_", "tb_").mapInArrow(_verify, "a long, b long"), "links")
     found = components(links)
-    missing = _missing_pairs(members.select("key_", "row_"), bands, found)
-    if missing is not None:
-        more_links = _linked(missing, reps)
-        if not more_links.isEmpty():
-            found = components(links.unionAll(more_links))
+    more_links = _families(stars, texts, found)
+    if more_links is not None and not more_links.isEmpty():
+        found = components(links.unionAll(more_links))
     group = first.join(found, F.col("rep_") == F.col("node"), "left").select("class_", F.coalesce("component", "rep_").alias("group_"))
     rows = base.select("row_", "doc_id", "n_shingles", "class_").join(common.staged(group, "groups"), "class_", "left")
     rows = common.staged(rows.withColumn("group_", F.coalesce("group_", F.col("row_"))).drop("class_"), "grouped")
