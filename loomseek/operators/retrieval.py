@@ -102,10 +102,11 @@ def vector_misses(rows: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def fuse(lists: dict[str, DataFrame], key: str = "id", k: int = RRF_K) -> DataFrame:
-    """Reciprocal rank fusion of lists with a column ``rank``: score, ranks by list, and the payload of the first list that has the key."""
+    """Reciprocal rank fusion of lists with a column ``rank``: score, ranks by list, and, of the columns that all lists have, those of the first list with the key."""
     parts = []
+    shared = set.intersection(*(set(rows.columns) for rows in lists.values())) - {key, "rank", "score", "matched_by"}
+    payload = sorted(shared)
     for number, (label, rows) in enumerate(lists.items()):
-        payload = [c for c in rows.columns if c not in (key, "rank", "score", "matched_by")]
         parts.append(rows.select(key, F.col("rank").cast("int").alias("rank"), F.lit(label).alias("label_"), F.lit(number).alias("list_"), F.struct(*payload).alias("payload_") if payload else F.lit(None).alias("payload_")))
     both = parts[0]
     for p in parts[1:]:
