@@ -46,7 +46,7 @@ INSULTS = ("idiot", "moron", "stupid", "imbecile", "scum", "loser", "pathetic",
 INSULT_WEIGHT = 4.0
 EXCEPTIONS = ("scum line", "pond scum", "loser bracket", "trash can", "trash bin", "clown fish", "stupid question")
 _FOLD = str.maketrans({chr(0xFF01 + i): chr(0x21 + i) for i in range(94)} | {x: k for k, v in HOMOGLYPHS.items() for x in v} | SIGNS)
-_WORD = re.compile(r"\w+")
+_WORD = re.compile(r"[@$]*\w+(?:[@$!|]+\w+)*")
 #: Lengths of word beginnings that are tried, the flush of a task's counts, and what an entry must show.
 PREFIXES, HELD, LEAST_DOCS, SIGMAS, LEAST_BOUND = (3, 4, 5, 6, 7, 8), 200_000, 3, 3.0, 0.8
 #: The share of documents from which on a longer entry explains a shorter one.
@@ -94,9 +94,9 @@ def rate(text: str | None, ac: ahocorasick.Automaton) -> float:
     if len(ac):
         for end, (n, found) in ac.iter(folded):
             start = end + 1 - n
-            if start and folded[start - 1].isalnum():
+            if start and text[start - 1].isalnum():
                 continue
-            closed = end + 1 == len(folded) or not folded[end + 1].isalnum()
+            closed = end + 1 == len(text) or not text[end + 1].isalnum()
             for weight, whole in found:
                 if whole and not closed:
                     continue
@@ -140,7 +140,7 @@ def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def features(text: str) -> set[tuple[str, bool]]:
     """Whole words and word beginnings of the folded text."""
     out = set()
-    for w in set(_WORD.findall(fold(text))):
+    for w in {fold(x) for x in _WORD.findall(text)}:
         if len(w) >= 3 and not w.isdigit():
             out.add((w, True))
             out.update((w[:k], False) for k in PREFIXES if k <= len(w))
