@@ -42,11 +42,11 @@ class Answer:
 class Engine:
     """One root, one home folder for its snapshots. ``encode`` makes vectors of texts (column to column)."""
 
-    def __init__(self, spark: SparkSession, home: str, root: str | Path | None = None, encode: Callable[[Column], Column] | None = None) -> None:
+    def __init__(self, spark: SparkSession, home: str, root: str | Path | None = None, encode: Callable[[Column], Column] | None = None, ignore_file: str = tree.IGNORE_FILE) -> None:
         session.ship(spark)
         self.spark, self.root, self.error, self.scans = spark, root, None, 0
         self.home = tree.cache_dir(home, root) if root is not None else home.rstrip("/")
-        self.encode, self._graph = encode or encoder.hashed, None
+        self.encode, self.ignore_file, self._graph = encode or encoder.hashed, ignore_file, None
 
     # Index
 
@@ -76,7 +76,7 @@ class Engine:
         if only is not None and not only:
             return {"updated": 0, "deleted": 0, "generation": self.generation}
         self.scans += only is None
-        now = files if files is not None else tree.files(self.spark, self.root, only)
+        now = files if files is not None else tree.files(self.spark, self.root, only, self.ignore_file)
         if files is not None and only is not None:
             now = changes.affected(now, only)
         meta, old = snapshot.read(self.spark, self.home, "meta"), snapshot.read(self.spark, self.home, "files")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 #: Directories and names that are never searched, and the largest file in bytes.
 SKIP_DIRS = ("node_modules", ".git", ".hg", ".svn", ".index", ".venv", "venv", "__pycache__", "dist", "build", "coverage", "vendor", ".pytest_cache")
-SKIP_NAMES = (".gitignore", ".codesearchignore", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "poetry.lock", "uv.lock", "Cargo.lock")
+SKIP_NAMES = (".gitignore", ".loomseekignore", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "poetry.lock", "uv.lock", "Cargo.lock")
 MAX_BYTES = 2_000_000
 
 

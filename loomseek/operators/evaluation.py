@@ -61,10 +61,12 @@ def summary(scored: DataFrame) -> DataFrame:
 
 
 def fingerprint(records: DataFrame) -> DataFrame:
-    """One SHA-256 of all (id, content_hash, start, end): hashes of single records are combined in order of id, range by range."""
-    one = records.select("id", F.sha2(F.to_json(F.struct("id", "content_hash", "start", "end")), 256).alias("h_"))
-    blocks = one.groupBy(F.floor(F.col("id") / 1000).alias("b_")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "h_"))), lambda x: x["h_"]), ""), 256).alias("h_"))
-    return blocks.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b_", "h_"))), lambda x: x["h_"]), ""), 256).alias("fingerprint"))
+    """One SHA-256 of all (id, content_hash, start, end) in order of id: a tree of hashes, of which no node has many children."""
+    level = records.select(F.col("id").alias("at_"), F.sha2(F.to_json(F.struct("id", "content_hash", "start", "end")), 256).alias("h_"))
+    whole = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at_", "h_"))), lambda x: x["h_"]), ""), 256)
+    for _ in range(5):
+        level = level.groupBy(F.floor(F.col("at_") / 1000).alias("up_")).agg(whole.alias("h_")).withColumnRenamed("up_", "at_")
+    return level.agg(whole.alias("fingerprint"))
 
 
 def stale_labels(manifest: DataFrame, files: DataFrame) -> DataFrame:

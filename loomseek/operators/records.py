@@ -108,7 +108,7 @@ def parse(files: DataFrame) -> DataFrame:
 
 
 def with_ids(records: DataFrame) -> DataFrame:
-    """Record ids from 0 in the order of path, record and piece: ranges are counted first, then numbered, so no task sees all rows."""
+    """Record ids that grow in the order of path, record and piece. They leave gaps, since every range numbers its own rows."""
     session.ship(records.sparkSession)
     ordered = records.repartitionByRange("file", "record_ord", "piece_ord").sortWithinPartitions("file", "record_ord", "piece_ord")
     return ordered.withColumn("id", F.monotonically_increasing_id())

@@ -19,7 +19,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from loomseek import session
 from loomseek.operators import discovery
 
-IGNORE_FILE = ".codesearchignore"
+#: The default name of a tree's file of ignored globs.
+IGNORE_FILE = ".loomseekignore"
 #: Files of one task.
 CHUNK = 500
 
@@ -71,9 +72,9 @@ def confined(root: str | Path, value: str) -> str:
     return found.relative_to(base).as_posix()
 
 
-def ignore_patterns(root: str | Path) -> list[str]:
+def ignore_patterns(root: str | Path, name: str = IGNORE_FILE) -> list[str]:
     try:
-        lines = (Path(root) / IGNORE_FILE).read_text().splitlines()
+        lines = (Path(root) / name).read_text().splitlines()
     except FileNotFoundError:
         return []
     return [x.strip() for x in lines if x.strip() and not x.strip().startswith("#")]
@@ -97,13 +98,13 @@ def listed(root: str | Path, only: Sequence[str] | None = None) -> list[str]:
     return sorted(out)
 
 
-def files(spark: SparkSession, root: str | Path, only: Sequence[str] | None = None) -> DataFrame:
+def files(spark: SparkSession, root: str | Path, only: Sequence[str] | None = None, ignore_file: str = IGNORE_FILE) -> DataFrame:
     """The searchable files of a tree: path, text, digest."""
     session.ship(spark)
     spark.dataSource.register(TreeSource)
     paths = [p for p in listed(root, only) if "\n" not in p]
     raw = spark.read.format("source_tree").option("root", str(Path(root).resolve())).option("paths", "\n".join(paths)).load()
-    kept = raw.where(discovery.admissible(F.col("path"), F.length("content")) & ~discovery.ignored(F.col("path"), ignore_patterns(root)) & discovery.textual(F.col("content")))
+    kept = raw.where(discovery.admissible(F.col("path"), F.length("content")) & ~discovery.ignored(F.col("path"), ignore_patterns(root, ignore_file)) & (F.col("path") != ignore_file) & discovery.textual(F.col("content")))
     return kept.select("path", F.col("content").cast("string").alias("text"), F.sha2("content", 256).alias("digest"))
 
 

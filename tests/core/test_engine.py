@@ -58,7 +58,7 @@ def root(tmp_path):
     (base / "bad.bin").write_bytes(b"a\x00b")
     (base / "latin.txt").write_bytes(b"caf\xe9")
     (base / "skip.min.js").write_text("x")
-    (base / ".codesearchignore").write_text("# generated\n*.min.js\n")
+    (base / ".loomseekignore").write_text("# generated\n*.min.js\n")
     return base
 
 
@@ -318,3 +318,23 @@ def test_duplicate_ids_keep_the_last_definition(spark):
     g = graph.build(files)
     call = graph.with_targets(g.calls, g.definitions, ["file", "ordinal"]).head()
     assert [t["line"] for t in call["resolved_targets"]] == [5]
+
+
+def test_label_run_and_commands(spark, engine, root, tmp_path, capsys):
+    from loomseek import cli, evaluate
+
+    digest = engine.table("files").where("path = 'helpers.py'").head()["digest"]
+    expected = {"file": "helpers.py", "symbol": "clock", "qualified_symbol": "clock", "start": 1, "end": 2, "evidence_start": 1, "evidence_end": 2}
+    data = {"source_snapshot": {"files": {"helpers.py": digest}}, "queries": [{"id": "q", "query": "clock returns", "split": "development", "category": "text", "expected": [expected]}]}
+    (tmp_path / "l.json").write_text(json.dumps(data))
+    out = evaluate.run(engine, f"file://{tmp_path}/l.json", tmp_path / "report.json")
+    assert {(r["split"], r["mode"]) for r in out["summary"]} == {(s, m) for s in ("development", "all") for m in evaluate.MODES}
+    assert all(r["hit5"] and r["evidence_coverage5"] == 1 for r in out["queries"]) and json.loads((tmp_path / "report.json").read_text())["records"] == out["records"]
+    data["source_snapshot"]["files"]["helpers.py"] = "0"
+    (tmp_path / "l.json").write_text(json.dumps(data))
+    with pytest.raises(evaluate.StaleLabels):
+        evaluate.run(engine, f"file://{tmp_path}/l.json")
+    asked = lambda *a: cli.answer(engine, cli.parser().parse_args(["--root", str(root), *a]))
+    assert asked("callers", "clock")["results"][0]["source"] == "cache.py#Cache.read"
+    assert asked("search", "build")["route"]["mode"] == "symbol" and asked("read", "helpers.py")[0]["end"] == 2
+    assert asked("sync", "pkg")["updated"] == 0 and asked("status")["generation"] == engine.generation
