@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -47,12 +49,54 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+_scopes = threading.local()
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage and fixes what was computed."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomseek/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if open_ := getattr(_scopes, "open", None):
+        open_[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path_ = path
+    return out
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes the tables staged within, but for those given to the function it yields: those that a result still reads."""
+    open_ = _scopes.open = getattr(_scopes, "open", [])
+    open_.append([])
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df.staged_path_)
+        return df
+
+    try:
+        yield keep
+    finally:
+        mine = open_.pop()
+        if open_:
+            open_[-1].extend(p for p in mine if p in kept)
+        for path in mine:
+            if path not in kept:
+                p = spark._jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: What names a row of a Parquet table, whatever columns are read and however files are split.
+FILE, PLACE = "__file", "__place"
+
+
+def located(docs: DataFrame) -> DataFrame:
+    """docs with FILE and PLACE, which are the same in every scan. What is not a plain Parquet table is written first."""
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or "parquet" not in plan.toString().split("\n")[0]:
+        docs = staged(docs, "input")
+    return docs.select("*", F.xxhash64("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(PLACE))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,6 +137,14 @@ def sieve(rows: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(words), (word == F.col("word_")) & (F.col("bits_").bitwiseAND(bit) != 0), "left_semi")
 
 
+def texts_at(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(row_, text_) of the located docs' rows in wanted (row_, file_, place_): texts in UTF-8, null as empty."""
+    texts = docs.select(F.col(FILE).alias("of_file_"), F.col(PLACE).alias("of_place_"), F.coalesce(docs["text"], F.lit("")).cast("binary").alias("text_"))
+    key = wanted.select(F.xxhash64("file_", "place_").alias("key_"))
+    some = sieve(texts, F.xxhash64("of_file_", "of_place_"), key)
+    return some.join(wanted, (F.col("of_file_") == F.col("file_")) & (F.col("of_place_") == F.col("place_"))).select("row_", "text_")
+
+
 def in_order(df: DataFrame, order: Sequence[str], sums: Sequence[str], within: str | None = None) -> DataFrame:
     """Adds, by the global order of the columns ``order``, inclusive running sums ``run_<c>`` of the columns ``sums``.
 

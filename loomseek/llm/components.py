@@ -19,18 +19,19 @@ def _tidy(links: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """Links (a, b) of numbers to (node, component): the smallest number that is reachable. Nodes without links are left out."""
-    links = common.staged(_tidy(links), "links")
-    found = None
-    while not links.isEmpty():
-        both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = common.staged(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("to")), "pointers")
-        for _ in range(2):
-            to = common.staged(_follow(to, to), "pointers")
-        found = to if found is None else common.staged(_follow(found, to, missing=True), "components")
-        links = common.staged(_tidy(_moved(_moved(links, to, "a"), to, "b")), "links")
-    if found is None:
-        return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return found.select("node", F.col("to").alias("component"))
+    with common.scratch(links.sparkSession) as keep:
+        links = keep(common.staged(_tidy(links), "links"))
+        found = None
+        while not links.isEmpty():
+            both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            to = common.staged(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("to")), "pointers")
+            for _ in range(2):
+                to = common.staged(_follow(to, to), "pointers")
+            found = to if found is None else common.staged(_follow(found, to, missing=True), "components")
+            links = common.staged(_tidy(_moved(_moved(links, to, "a"), to, "b")), "links")
+        if found is None:
+            return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        return keep(found).select("node", F.col("to").alias("component"))
 
 
 def _follow(start: DataFrame, to: DataFrame, missing: bool = False) -> DataFrame:

@@ -110,7 +110,8 @@ def op6(spark, sf_dir: str) -> DataFrame:
 
 def without_items(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that hold a benchmark item go."""
-    bad = common.staged(contained_items(docs, common.table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("bad_id_")).distinct(), "contaminated")
+    with common.scratch(spark) as keep:
+        bad = keep(common.staged(contained_items(docs, common.table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("bad_id_")).distinct(), "contaminated"))
     names = docs.columns
     safe = docs.toDF(*(f"c{i}_" for i in range(len(names))))
     key = F.col(f"c{names.index('doc_id')}_").cast("long")

@@ -114,20 +114,22 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for b in batches:
         sizes, sigs, bands = [], [], []
-        for data in b.column(b.schema.get_field_index("text_")).to_pylist():
+        at = b.schema.get_field_index("text_")
+        for data in b.column(at).to_pylist():
             h = shingle_hashes(data, hashes)
             m = minima(h)
             sizes.append(len(h))
             sigs.append(pack(m))
             bands.append(band_keys(m))
         cols = [pa.array(sizes, pa.int64()), pa.array(sigs, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, "n_shingles", "sig_", "bands_"])
+        rest = [i for i in range(b.num_columns) if i != at]
+        yield pa.RecordBatch.from_arrays([*(b.column(i) for i in rest), *cols], names=[*(b.schema.names[i] for i in rest), "n_shingles", "sig_", "bands_"])
 
 
 def signatures(base: DataFrame) -> DataFrame:
-    """Adds n_shingles, the packed signature sig_ and the band keys bands_ of the binary column text_."""
+    """Puts n_shingles, the packed signature sig_ and the band keys bands_ in the place of the binary column text_."""
     more = [T.StructField("n_shingles", T.LongType()), T.StructField("sig_", T.ArrayType(T.LongType())), T.StructField("bands_", T.ArrayType(T.LongType()))]
-    return base.mapInArrow(_signatures, T.StructType([*base.schema.fields, *more]))
+    return base.mapInArrow(_signatures, T.StructType([*(f for f in base.schema.fields if f.name != "text_"), *more]))
 
 
 def estimate(x: str, y: str) -> Column:
@@ -231,15 +233,43 @@ def block_links(members: list[tuple[int, int, int, np.ndarray]], one_block: bool
     return sorted(out.values())
 
 
-def near_duplicates(docs: DataFrame, carry: bool = False) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id and kept; with ``carry`` also text and the other columns of docs, renamed c0_, c1_, and so on."""
-    common.small_batches(docs.sparkSession)
-    more = [docs[c].alias(f"c{i}_") for i, c in enumerate(docs.columns)] if carry else []
-    base = docs.select(F.monotonically_increasing_id().alias("row_"), docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).cast("binary").alias("text_"), common.text_key(F.coalesce(docs["text"], F.lit(""))).alias("class_"), *more)
-    base = common.staged(signatures(base), "signatures")
-    first = common.staged(base.where("n_shingles > 0").groupBy("class_").agg(F.min("row_").alias("rep_")), "classes")
-    reps = base.select("row_", "n_shingles", "sig_", "bands_").join(first.select(F.col("rep_").alias("row_")), "row_", "left_semi")
-    reps = common.staged(reps, "representatives")
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id and kept."""
+    rows, names = _grouped(common.located(docs))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")
+    return rows.join(names, "group_").select("doc_id", "n_shingles", "component_id", kept)
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs without near-duplicates: of each group the row with the smallest id, the first one if rows repeat it."""
+    docs = common.located(docs)
+    rows, _ = _grouped(docs)
+    first = F.min_by(F.struct("file_", "place_"), F.struct(F.col("doc_id").isNull(), "doc_id", "row_"))
+    one = rows.groupBy("group_").agg(first.alias("at_")).select(F.col("at_.file_").alias("of_file_"), F.col("at_.place_").alias("of_place_"))
+    kept = docs.join(one, (F.col(common.FILE) == F.col("of_file_")) & (F.col(common.PLACE) == F.col("of_place_")), "left_semi")
+    return kept.drop(common.FILE, common.PLACE)
+
+
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (row_, file_, place_, doc_id, n_shingles, group_) of the located docs, and each group's component_id."""
+    spark = docs.sparkSession
+    common.small_batches(spark)
+    text = F.coalesce(docs["text"], F.lit(""))
+    with common.scratch(spark) as keep:
+        base = docs.select(F.monotonically_increasing_id().alias("row_"), docs["doc_id"].cast("long").alias("doc_id"), F.col(common.FILE).alias("file_"), F.col(common.PLACE).alias("place_"), text.cast("binary").alias("text_"), common.text_key(text).alias("class_"))
+        base = common.staged(signatures(base), "signatures")
+        first = common.staged(base.where("n_shingles > 0").groupBy("class_").agg(F.min("row_").alias("rep_")), "classes")
+        reps = base.select("row_", "n_shingles", "sig_", "bands_").join(first.select(F.col("rep_").alias("row_")), "row_", "left_semi")
+        found = _found(docs, base, common.staged(reps, "representatives"))
+        group = first.join(found, F.col("rep_") == F.col("node"), "left").select("class_", F.coalesce("component", "rep_").alias("group_"))
+        rows = base.select("row_", "file_", "place_", "doc_id", "n_shingles", "class_").join(common.staged(group, "groups"), "class_", "left")
+        rows = keep(common.staged(rows.withColumn("group_", F.coalesce("group_", F.col("row_"))).drop("class_"), "grouped"))
+        names = keep(common.staged(rows.groupBy("group_").agg(F.min("doc_id").alias("component_id")), "names"))
+    return rows, names
+
+
+def _found(docs: DataFrame, base: DataFrame, reps: DataFrame) -> DataFrame:
+    """(node, component) of the linked representatives."""
     bands = reps.select("row_", F.explode("bands_").alias("key_"))
     shared = common.staged(bands.groupBy("key_").agg(F.count("*").alias("n_")).where("n_ > 1"), "shared-bands")
     members = common.staged(bands.join(shared, "key_"), "members")
@@ -249,8 +279,8 @@ def near_duplicates(docs: DataFrame, carry: bool = False) -> DataFrame:
     pairs = members.select("key_", F.col("row_").alias("a")).join(common.staged(hubs, "hubs"), "key_").where("a <> b").select("a", "b").distinct()
     stars = common.staged(_estimated(pairs, reps).where(F.col("estimate_") >= FAMILY_ESTIMATE), "stars")
     asked = stars.select(F.col("a").alias("row_")).unionAll(stars.select(F.col("b").alias("row_"))).distinct()
-    asked = common.staged(asked, "asked")
-    texts = common.staged(common.sieve(base.select("row_", "text_"), F.col("row_"), asked).join(asked, "row_", "left_semi"), "candidate-texts")
+    asked = common.staged(base.select("row_", "file_", "place_").join(asked, "row_", "left_semi"), "asked")
+    texts = common.staged(common.texts_at(docs, asked), "candidate-texts")
     near = stars.where((100 * F.least("na_", "nb_") >= PERCENT * F.greatest("na_", "nb_")) & (F.col("estimate_") >= LEAST_ESTIMATE)).select("a", "b")
     whole = near.join(texts.select(F.col("row_").alias("a"), F.col("text_").alias("ta_")), "a").join(texts.select(F.col("row_").alias("b"), F.col("text_").alias("tb_")), "b")
     links = common.staged(whole.select("a", "b", "ta_", "tb_").mapInArrow(_verify, "a long, b long"), "links")
@@ -258,16 +288,7 @@ def near_duplicates(docs: DataFrame, carry: bool = False) -> DataFrame:
     more_links = _families(stars, texts, found)
     if more_links is not None and not more_links.isEmpty():
         found = components(links.unionAll(more_links))
-    group = first.join(found, F.col("rep_") == F.col("node"), "left").select("class_", F.coalesce("component", "rep_").alias("group_"))
-    rows = base.select("row_", "doc_id", "n_shingles", "class_").join(common.staged(group, "groups"), "class_", "left")
-    rows = common.staged(rows.withColumn("group_", F.coalesce("group_", F.col("row_"))).drop("class_"), "grouped")
-    names = common.staged(rows.groupBy("group_").agg(F.min("doc_id").alias("component_id")), "names")
-    out = rows.join(names, "group_").select("row_", "doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), "group_")
-    if not carry:
-        return out.drop("row_", "group_")
-    # One row of each group stays, whatever rows repeat an id: the first one of the smallest id.
-    one = out.groupBy("group_").agg(F.min_by("row_", F.struct(F.col("doc_id").isNull(), "doc_id", "row_")).alias("row_"))
-    return base.join(one, "row_", "left_semi").select(*(f"c{i}_" for i in range(len(more))))
+    return found
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
@@ -277,7 +298,7 @@ def op5(spark, sf_dir: str) -> DataFrame:
 
 def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group stays."""
-    return near_duplicates(docs, carry=True).toDF(*docs.columns)
+    return one_of_each(docs)
 
 
 SQL = r"""

@@ -51,14 +51,13 @@ def uniform(key: Column, seed: int) -> Column:
 def mix(docs: DataFrame, seed: int = 20, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, carry: tuple[str, ...] = ()) -> DataFrame:
     """How often the mix takes each row of docs.
 
-    Returns doc_id, size, source_size, target, copies, taken, and the columns ``carry`` of docs.
+    Returns doc_id, size, source_size, target, copies and taken; with ``carry``, for rows that are taken, also those columns of docs.
     One row for each source comes to the driver: its name and its words.
     """
     spark = docs.sparkSession
-    base = common.staged(
-        docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.word_count(docs["text"]).alias("size"), docs["source"].cast("string").alias("source_"), F.monotonically_increasing_id().alias("row_"), *(docs[c].alias(f"carried_{i}") for i, c in enumerate(carry))),
-        "mixing-base",
-    )
+    docs = common.located(docs)
+    place = [F.col(common.FILE).alias("file_"), F.col(common.PLACE).alias("place_")]
+    base = common.staged(docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.word_count(docs["text"]).alias("size"), docs["source"].cast("string").alias("source_"), *place), "mixing-base")
     rows = base.groupBy("source_").agg(F.sum("size").alias("n")).collect()
     rows.sort(key=lambda r: (r["source_"] is None, (r["source_"] or "").encode()))
     aims = targets([r["n"] for r in rows], [weights[i % len(weights)] for i in range(len(rows))], most)
@@ -67,28 +66,26 @@ def mix(docs: DataFrame, seed: int = 20, weights: tuple[float, ...] = WEIGHTS, m
         whole = min(int(aim / r["n"] + 1e-9), most) if r["n"] else 0
         made.append((r["source_"], r["n"], aim, whole, max(0.0, aim - whole * r["n"])))
     per = spark.createDataFrame(made, T.StructType([T.StructField("of_", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("whole_", T.LongType()), T.StructField("missing_", T.DoubleType())]))
-    narrow = base.select("doc_id", "size", "source_", "row_")
     odds = lambda p: p / (F.lit(1.0) - p)
-    joined = narrow.join(per, narrow["source_"].eqNullSafe(per["of_"])).drop("of_")
+    joined = base.join(per, base["source_"].eqNullSafe(per["of_"])).drop("of_")
     chance = F.col("missing_") / F.col("source_size")
     ranked = joined.withColumn("rank_", F.when(F.col("missing_") > 0, odds(uniform(F.col("doc_id"), seed)) / odds(F.least(chance, F.lit(1 - 1e-12)))))
-    drawn = common.in_order(ranked, ["source_", "rank_", "doc_id", "row_"], ["size"], within="source_")
+    drawn = common.in_order(ranked, ["source_", "rank_", "doc_id", "size", "file_", "place_"], ["size"], within="source_")
     extra = (F.col("missing_") > 0) & (F.col("run_size") - F.col("size") / 2 < F.col("missing_"))
-    out = drawn.withColumn("copies", F.col("whole_") + F.when(extra, 1).otherwise(0)).withColumn("taken", F.col("copies") * F.col("size")).select("row_", "doc_id", "size", "source_size", "target", "copies", "taken")
+    out = drawn.withColumn("copies", F.col("whole_") + F.when(extra, 1).otherwise(0)).withColumn("taken", F.col("copies") * F.col("size")).select("doc_id", "size", "source_size", "target", "copies", "taken", "file_", "place_")
     if not carry:
-        return out.drop("row_")
-    held = base.select("row_", *(F.col(f"carried_{i}") for i in range(len(carry))))
-    return out.join(held, "row_").select(*(c for c in out.columns if c != "row_"), *(held[f"carried_{i}"].alias(c) for i, c in enumerate(carry)))
+        return out.drop("file_", "place_")
+    held = docs.select(*(docs[c].alias(f"carried_{i}") for i, c in enumerate(carry)), *(p.alias(f"{n}of_") for n, p in zip(("file_", "place_"), place, strict=True)))
+    both = out.where("copies > 0").join(held, (F.col("file_") == F.col("file_of_")) & (F.col("place_") == F.col("place_of_")))
+    return both.select(*out.columns[:6], *(F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)))
 
 
 def mixed_rows(docs: DataFrame, seed: int = 20) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, with the columns of docs."""
     names = docs.columns
-    safe = docs.toDF(*(f"c{i}_" for i in range(len(names))))
-    where = {n: f"c{i}_" for i, n in enumerate(names)}
-    held = safe.withColumns({n: F.col(where[n]) for n in ("doc_id", "text", "source")})
-    got = mix(held, seed, carry=tuple(where.values())).where("copies > 0")
-    return got.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*(F.col(where[n]).alias(n) for n in names))
+    taken = mix(docs, seed, carry=tuple(names))
+    rows = taken.toDF(*taken.columns[:6], *(f"c{i}_" for i in range(len(names))))
+    return rows.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*(F.col(f"c{i}_").alias(n) for i, n in enumerate(names)))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -133,30 +133,31 @@ def minimax_shards(docs: DataFrame, shards: int = 40, carry: tuple[str, ...] = (
 
     Returns doc_id, size, text_crc32, shard, slot (gapless from 0 in each shard) and the columns ``carry`` of docs.
     """
+    docs = common.located(docs)
     text = docs["text"]
-    base = common.staged(
-        docs.select(docs["doc_id"].cast("long").alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + OVERHEAD).cast("long").alias("size"), common.crc32(text).alias("text_crc32"), common.text_key(text).alias("key_"), F.monotonically_increasing_id().alias("row_"), *(docs[c].alias(f"carried_{i}") for i, c in enumerate(carry))),
-        "sharding-base",
-    )
-    narrow = base.select("doc_id", "size", "text_crc32", "key_", "row_")
-    many = common.staged(narrow.groupBy("key_").agg(F.min("doc_id").alias("lead_"), F.count("*").alias("n_")).where("n_ > 1").drop("n_"), "sharding-groups")
-    rows = narrow.join(many, "key_", "left").withColumn("lead_", F.coalesce("lead_", "doc_id")).withColumn("one_", F.lit(1).cast("long"))
-    order = ["lead_", "key_", "doc_id", "row_"]
-    run = common.staged(common.in_order(rows, order, ["size", "one_"]), "sharding-run")
-    total = run.agg(F.max("run_size")).head()[0]
-    cuts: list[int] = []
-    if total:
-        bounds = common.staged(run.groupBy("lead_", "key_").agg(F.max("run_size").alias("end_")).select("end_"), "sharding-ends")
-        _, cuts = minimax_cuts(bounds, total, shards)
+    place = [F.col(common.FILE).alias("file_"), F.col(common.PLACE).alias("place_")]
+    with common.scratch(docs.sparkSession) as keep:
+        base = docs.select(docs["doc_id"].cast("long").alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + OVERHEAD).cast("long").alias("size"), common.crc32(text).alias("text_crc32"), common.text_key(text).alias("key_"), *place)
+        base = common.staged(base, "sharding-base")
+        many = common.staged(base.groupBy("key_").agg(F.min("doc_id").alias("lead_"), F.count("*").alias("n_")).where("n_ > 1").drop("n_"), "sharding-groups")
+        rows = base.join(many, "key_", "left").withColumn("lead_", F.coalesce("lead_", "doc_id")).withColumn("one_", F.lit(1).cast("long"))
+        order = ["lead_", "key_", "doc_id", "file_", "place_"]
+        run = keep(common.staged(common.in_order(rows, order, ["size", "one_"]), "sharding-run"))
+        total = run.agg(F.max("run_size")).head()[0]
+        cuts: list[int] = []
+        if total:
+            bounds = common.staged(run.groupBy("lead_", "key_").agg(F.max("run_size").alias("end_")).select("end_"), "sharding-ends")
+            _, cuts = minimax_cuts(bounds, total, shards)
     shard = sum((F.when(F.col("run_size") > c, 1).otherwise(0) for c in cuts), F.lit(0)).cast("int")
     dealt = run.withColumn("shard", shard)
     starts = {r["shard"]: r["start"] for r in dealt.groupBy("shard").agg(F.min("run_one_").alias("start")).collect()}
     start = F.create_map(*(x for k, v in starts.items() for x in (F.lit(k), F.lit(v)))) if starts else F.create_map(F.lit(0), F.lit(0).cast("long"))
-    out = dealt.withColumn("slot", F.col("run_one_") - F.element_at(start, F.col("shard"))).select("row_", "doc_id", "size", "text_crc32", "shard", "slot")
+    out = dealt.withColumn("slot", F.col("run_one_") - F.element_at(start, F.col("shard"))).select("doc_id", "size", "text_crc32", "shard", "slot", "file_", "place_")
     if not carry:
-        return out.drop("row_")
-    held = base.select("row_", *(F.col(f"carried_{i}") for i in range(len(carry))))
-    return out.join(held, "row_").select(*(c for c in out.columns if c != "row_"), *(held[f"carried_{i}"].alias(c) for i, c in enumerate(carry)))
+        return out.drop("file_", "place_")
+    held = docs.select(*(docs[c].alias(f"carried_{i}") for i, c in enumerate(carry)), *(p.alias(f"{n}of_") for n, p in zip(("file_", "place_"), place, strict=True)))
+    both = out.join(held, (F.col("file_") == F.col("file_of_")) & (F.col("place_") == F.col("place_of_")))
+    return both.select(*out.columns[:5], *(F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -213,21 +213,22 @@ def fit_curve(rates: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Lexicon and curve from the labels that are not held out."""
     common.small_batches(docs.sparkSession)
-    rows = training_rows(docs, labels, sample)
-    fixed = {(w, True): INSULT_WEIGHT for w in INSULTS}
-    learned = learn_entries(rows)
-    if not learned:
-        return Model(fixed)
-    model = Model(fixed | learned)
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ac = automaton(model)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([rate(t, ac) for t in b.column(0).to_pylist()], pa.float64()), b.column(1)], names=["rate", "toxic"])
-
-    pairs = sorted((r["rate"], r["toxic"]) for r in rows.mapInArrow(measure, "rate double, toxic boolean").collect())
-    curve = fit_curve(np.array([p[0] for p in pairs]), np.array([float(p[1]) for p in pairs]))
-    return Model(model.entries, curve if curve[1] > 0 else CURVE)
+    with common.scratch(docs.sparkSession):
+        rows = training_rows(docs, labels, sample)
+        fixed = {(w, True): INSULT_WEIGHT for w in INSULTS}
+        learned = learn_entries(rows)
+        if not learned:
+            return Model(fixed)
+        model = Model(fixed | learned)
+
+        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ac = automaton(model)
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([rate(t, ac) for t in b.column(0).to_pylist()], pa.float64()), b.column(1)], names=["rate", "toxic"])
+
+        pairs = sorted((r["rate"], r["toxic"]) for r in rows.mapInArrow(measure, "rate double, toxic boolean").collect())
+        curve = fit_curve(np.array([p[0] for p in pairs]), np.array([float(p[1]) for p in pairs]))
+        return Model(model.entries, curve if curve[1] > 0 else CURVE)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -83,7 +83,7 @@ def test_near_duplicates_of_repeated_ids_nulls_and_empty_tables(spark):
     rows = [(5, text, None, None, None), (5, text, None, None, None), (None, text, None, None, None), (None, None, None, None, None), (7, "", None, None, None)]
     got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"]), r["kept"]) for r in minhash.near_duplicates(frame(spark, rows)).collect())
     assert got == [("5", 26, "5", True), ("5", 26, "5", True), ("7", 0, "7", True), ("None", 0, "None", False), ("None", 26, "5", False)]
-    assert minhash.near_duplicates(frame(spark, rows), carry=True).count() == 3
+    assert minhash.one_of_each(frame(spark, rows)).count() == 3
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
 
 
@@ -408,3 +408,27 @@ def test_sieve_keeps_what_is_wanted(spark):
     wanted = spark.range(0, 5000, 100).withColumnRenamed("id", "w")
     kept = {r["id"] for r in common.sieve(rows, F.col("id"), wanted).collect()}
     assert set(range(0, 5000, 100)) <= kept and len(kept) < 200
+
+
+def test_scratch_tables_go_and_results_still_read(spark):
+    with common.scratch(spark) as keep:
+        gone = common.staged(spark.range(3), "gone")
+        kept = keep(common.staged(gone.where("id > 0"), "kept"))
+    assert kept.count() == 2
+    with pytest.raises(Exception, match=r"(?i)not exist|not found|No such file"):
+        spark.read.parquet(gone.staged_path_).count()
+
+
+def test_places_do_not_depend_on_the_scan(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    spark.range(1000).withColumn("text", F.repeat(F.lit("x"), 50)).repartition(3).write.parquet(path)
+    plain = spark.read.parquet(path)
+    one = {(r[common.FILE], r[common.PLACE]): r["id"] for r in common.located(plain).collect()}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        two = {(r[common.FILE], r[common.PLACE]): r["id"] for r in common.located(plain).select("id", common.FILE, common.PLACE).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert one == two and len(one) == 1000
+    assert common.located(plain.where("id < 10")).count() == 10
