@@ -44,8 +44,9 @@ def targets(sizes: list[int], weights: list[float], most: int = MOST) -> list[fl
 
 
 def uniform(key: Column, seed: int) -> Column:
-    """A number in (0, 1) that depends on the key and the seed alone."""
-    return (F.shiftrightunsigned(F.xxhash64(F.coalesce(key.cast("string"), F.lit("null")), F.lit(seed)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+    """A number in (0, 1) that depends on the key and the seed alone: 52 bits of their MD5."""
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null")))
+    return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
 def mix(docs: DataFrame, seed: int = 20, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -92,3 +93,26 @@ def op10(spark, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes."""
     common.small_batches(spark)
     return mix(common.table(spark, sf_dir, "documents"))
+
+
+#: The same in SQL, but for duplicates of an id with texts of one length, which count alike.
+SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+src AS (SELECT source, sum(size) AS s, list_extract([5.0, 2.0, 1.0], CAST((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS INTEGER)) AS weight FROM w GROUP BY source),
+fill AS (
+  SELECT source, CAST(s AS DOUBLE) AS s, CAST(weight AS DOUBLE) AS weight, CAST(NULL AS DOUBLE) AS t, 0 AS round FROM src WHERE s > 0
+  UNION ALL
+  SELECT source, s, weight, CASE WHEN t IS NOT NULL THEN t WHEN rest * weight / free > {MOST} * s THEN {MOST} * s END, round + 1
+  FROM (SELECT *, max(CASE WHEN t IS NULL AND rest * weight / free > {MOST} * s THEN 1 ELSE 0 END) OVER () AS again
+    FROM (SELECT *, sum(s) OVER () - sum(coalesce(t, 0)) OVER () AS rest, sum(CASE WHEN t IS NULL THEN weight END) OVER () AS free FROM fill)) WHERE again = 1
+),
+last_ AS (SELECT *, sum(s) OVER () - sum(coalesce(t, 0)) OVER () AS rest, sum(CASE WHEN t IS NULL THEN weight END) OVER () AS free FROM fill WHERE round = (SELECT max(round) FROM fill)),
+per AS (SELECT src.source, CAST(src.s AS BIGINT) AS source_size, CASE WHEN last_.s IS NULL THEN 0.0 ELSE coalesce(t, rest * last_.weight / free) END AS target FROM src LEFT JOIN last_ ON src.source IS NOT DISTINCT FROM last_.source),
+whole AS (SELECT *, CASE WHEN source_size > 0 THEN least(CAST(floor(target / source_size + 1e-9) AS BIGINT), {MOST}) ELSE 0 END AS whole FROM per),
+need AS (SELECT *, CASE WHEN source_size > 0 THEN greatest(0.0, target - whole * source_size) ELSE 0.0 END AS missing FROM whole),
+dice AS (SELECT doc_id, size, need.*, (list_reduce(list_transform(range(1, 14), lambda i: CAST(strpos('0123456789abcdef', substr(md5('20:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), i, 1)) - 1 AS BIGINT)), lambda a, x: a * 16 + x) + 0.5) / CAST(4503599627370496 AS DOUBLE) AS u
+  FROM w JOIN need ON w.source IS NOT DISTINCT FROM need.source),
+ranked AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY (u / (1.0 - u)) / (least(missing / nullif(source_size, 0), 1 - 1e-12) / nullif(1.0 - least(missing / nullif(source_size, 0), 1 - 1e-12), 0)), doc_id, size ROWS UNBOUNDED PRECEDING) AS run FROM dice),
+drawn AS (SELECT *, whole + CASE WHEN missing > 0 AND run - size / 2.0 < missing THEN 1 ELSE 0 END AS copies FROM ranked)
+SELECT doc_id, size, source_size, target, CAST(copies AS BIGINT) AS copies, CAST(copies * size AS BIGINT) AS taken FROM drawn
+"""

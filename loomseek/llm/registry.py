@@ -29,8 +29,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     found = {
         "op2_prefix_target_chat": chat.SQL,
+        "op3_minimax_shards": sharding.SQL,
         "op4_content_addressed_warc": warc.SQL,
         "op5_bbit_minhash": minhash.SQL,
         "op6_size_partitioned_containment": decontamination.SQL,
+        "op10_pareto_mix": mixing.SQL,
     }
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -6,7 +6,7 @@ a binary search over C, each value checked greedily. The sequence itself stays d
 holds a sketch of at most ``buckets`` of its boundaries for each refinement, checks both the cuts known
 to exist and the cuts that could at best exist, and refines only where the two can differ, until the two
 capacities meet; the capacity found is therefore exact. Among the cuts that respect it, those nearest
-to even shares are taken.
+to even shares are taken, from left to right; where that depends on unknown boundaries, they are refined too.
 
 Nulls: a null text has size 16 and is a group of its own; an empty text likewise. A null doc_id sorts first.
 Repeated rows keep a row, and a slot, each. Empty tables give no rows. Other columns are left alone.
@@ -35,12 +35,19 @@ class Boundaries:
     at: np.ndarray
     whole: np.ndarray
     total: int = field(init=False)
+    asked: set[int] = field(default_factory=set)  # gaps with missing ends that answers depended on
 
     def __post_init__(self) -> None:
         self.total = int(self.at[-1])
 
+    def _depends(self, limit: int) -> None:
+        j = int(np.searchsorted(self.at, limit, "right")) - 1
+        if 0 <= j < len(self.whole) and not self.whole[j] and self.at[j] != limit:
+            self.asked.add(j)
+
     def known(self, limit: int) -> int:
         """The largest known end up to limit."""
+        self._depends(limit)
         return int(self.at[np.searchsorted(self.at, limit, "right") - 1])
 
     def possible(self, limit: int) -> int:
@@ -50,6 +57,7 @@ class Boundaries:
 
     def from_right(self, limit: int) -> int:
         """The smallest known end from limit on."""
+        self._depends(limit)
         return int(self.at[np.searchsorted(self.at, max(limit, 0), "left")])
 
     def walk(self, capacity: int, shards: int, step) -> list[int]:
@@ -69,18 +77,17 @@ def smallest(ends: Boundaries, shards: int, step, low: int, high: int) -> int:
 
 
 def even_cuts(ends: Boundaries, capacity: int, shards: int) -> list[int]:
-    """Inner cuts under the capacity, each as near to an even share of what is left as the rest allows."""
+    """Inner cuts under the capacity, each the end nearest to an even share of what is left that the rest allows; of two, the lower."""
     least = [ends.total]
     for _ in range(shards - 1):
         least.append(ends.from_right(least[-1] - capacity))
     cuts, p = [], 0
     for left in range(shards - 1, 0, -1):
         low, high = max(p, least[left]), ends.known(p + capacity)
-        aim = p + (ends.total - p) / (left + 1)
-        below = ends.known(int(min(max(aim, low), high)))
-        above = ends.from_right(min(below + 1, ends.total))
-        best = [x for x in (below, above, low, high) if low <= x <= high]
-        p = min(best, key=lambda x: (abs(x - aim), x))
+        share = -(-(ends.total - p) // (left + 1))
+        aim = min(max(p + share, low), high)
+        below, above = ends.known(aim), ends.from_right(aim)
+        p = below if below >= low and (above > high or aim - below <= above - aim) else above
         cuts.append(p)
     return cuts
 
@@ -92,10 +99,16 @@ def minimax_cuts(bounds: DataFrame, total: int, shards: int, buckets: int = 1 <<
         low = smallest(ends, shards, ends.possible, -(-total // shards), total)
         high = smallest(ends, shards, ends.known, low, total)
         if low == high:
-            return high, even_cuts(ends, high, shards)
+            break
         first, last = ends.walk(low, shards, ends.known), ends.walk(high, shards, ends.possible)
         unsure = {j for a, b in zip(first, last, strict=True) for j in range(int(np.searchsorted(ends.at, a, "right")) - 1, min(int(np.searchsorted(ends.at, b, "left")), len(ends.whole))) if not ends.whole[j]}
         ends = _refine(bounds, ends, sorted(unsure), buckets)
+    while True:
+        ends.asked.clear()
+        cuts = even_cuts(ends, high, shards)
+        if not ends.asked:
+            return high, cuts
+        ends = _refine(bounds, ends, sorted(ends.asked), buckets)
 
 
 def _refine(bounds: DataFrame, ends: Boundaries, gaps: list[int], buckets: int) -> Boundaries:
@@ -169,3 +182,43 @@ def op3(spark, sf_dir: str) -> DataFrame:
 def with_law(dealt: DataFrame) -> DataFrame:
     """The contract's columns: the law that the shards follow, and none for one more shard."""
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), *dealt.columns[5:])
+
+
+#: The same in SQL: a binary search whose every step jumps to the last end that a shard can reach.
+SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) + {OVERHEAD} AS BIGINT) AS size, text FROM documents),
+g AS (SELECT *, min(doc_id) OVER (PARTITION BY text) AS lead FROM d),
+e AS (SELECT CAST(sum(s) OVER (ORDER BY lead) AS BIGINT) AS e FROM (SELECT lead, sum(size) AS s FROM g GROUP BY lead)),
+z AS (SELECT max(e) AS total FROM e),
+search AS (
+  SELECT CAST((total + 39) // 40 AS BIGINT) AS low, total AS high, CAST(((total + 39) // 40 + total) // 2 AS BIGINT) AS mid, 0 AS k, CAST(0 AS BIGINT) AS p, total FROM z
+  UNION ALL
+  SELECT CASE WHEN k = 40 AND p < total THEN mid + 1 ELSE low END, CASE WHEN k = 40 AND p >= total THEN mid ELSE high END,
+    CASE WHEN k < 40 THEN mid WHEN p < total THEN (mid + 1 + high) // 2 ELSE (low + mid) // 2 END,
+    CASE WHEN k = 40 THEN 0 ELSE k + 1 END,
+    CASE WHEN k = 40 THEN 0 ELSE coalesce((SELECT max(e) FROM e WHERE e <= p + mid), 0) END, total
+  FROM search WHERE low < high
+),
+c AS (SELECT min(high) AS c, any_value(total) AS total FROM search),
+back AS (
+  SELECT 0 AS k, total AS p, c, total FROM c
+  UNION ALL
+  SELECT k + 1, coalesce((SELECT min(x.e) FROM (SELECT e FROM e UNION ALL SELECT 0) x WHERE x.e >= greatest(p - c, 0)), 0), c, total FROM back WHERE k < 39
+),
+cut AS (
+  SELECT 40 AS n, CAST(0 AS BIGINT) AS p, c, total FROM c
+  UNION ALL
+  SELECT n - 1, CASE WHEN below >= low AND (above > high OR aim - below <= above - aim) THEN below ELSE above END, c, total FROM (
+    SELECT *, (SELECT max(x.e) FROM (SELECT e FROM e UNION ALL SELECT 0) x WHERE x.e <= aim) AS below, (SELECT min(x.e) FROM (SELECT e FROM e UNION ALL SELECT 0) x WHERE x.e >= aim) AS above FROM (
+      SELECT *, least(greatest(p + (total - p + n - 1) // n, low), high) AS aim FROM (
+        SELECT n, p, c, total, greatest(p, (SELECT b.p FROM back b WHERE b.k = n - 1)) AS low, (SELECT max(x.e) FROM (SELECT e FROM e UNION ALL SELECT 0) x WHERE x.e <= cut.p + c) AS high FROM cut WHERE n > 1)))
+),
+run AS (SELECT *, sum(size) OVER (ORDER BY lead, doc_id ROWS UNBOUNDED PRECEDING) AS run FROM g),
+s AS (SELECT *, CAST((SELECT count(*) FROM cut WHERE n < 40 AND cut.p < run.run) AS INTEGER) AS shard FROM run)
+-- CRC-32 by bytes, over the table that its polynomial gives
+, tab AS (SELECT list_transform(range(0, 256), lambda i: list_reduce(list_prepend(CAST(i AS BIGINT), [CAST(0 AS BIGINT) for x in range(0, 8)]), lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+b AS (SELECT doc_id, shard, size, lead, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST((strpos('0123456789ABCDEF', h[1]) - 1) * 16 + strpos('0123456789ABCDEF', h[2]) - 1 AS BIGINT)) AS bytes FROM s)
+SELECT doc_id, size, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda c, x: xor(t[CAST(xor(c, x) % 256 AS INTEGER) + 1], c // 256)), 4294967295) AS text_crc32,
+  'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY lead, doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM b, tab
+"""
