@@ -16,6 +16,8 @@ from loomseek.operators.records import LOOSE_KINDS
 
 #: The constant of reciprocal rank fusion, and limits of regular expressions and spans.
 RRF_K = 60
+#: Blocks of queries that one plan may hold.
+FEW_BLOCKS = 8
 MAX_PATTERN, MAX_SPAN_LINES, DEFAULT_SPAN_LINES, MAX_SPAN_CHARS = 1000, 200, 40, 32_000
 
 
@@ -57,20 +59,21 @@ def dense(vectors: DataFrame, query: Sequence[float], cut: int = 50, key: str =
 def dense_batch(vectors: DataFrame, queries: DataFrame, cut: int = 10, key: str = "id", column: str = "embedding", block: int = 1024) -> DataFrame:
     """Exact cosine of many queries with all vectors: (qid, key, score, rank).
 
-    Queries are cut into blocks of at most ``block``; each pair of a block and a batch of vectors is one matrix product, of
-    which a task passes on its best ``cut`` of each query. A window then ranks what the tasks passed on.
+    Queries are cut into blocks of about ``block``; each pair of a block and a batch of vectors is one matrix product, of
+    which a task passes on its best ``cut`` of each query. A window then ranks what the tasks passed on. One block at a
+    time is on the driver; beyond a few, each block's result is checkpointed, so the plan does not grow with the queries.
     """
     session.ship(vectors.sparkSession)
-    numbered = queries.withColumn("block_", F.pmod(F.xxhash64(F.col("qid")), F.lit(64)))
-    blocks = [r["block_"] for r in numbered.select("block_").distinct().orderBy("block_").collect()]
+    blocks = -(-queries.count() // block)
     parts = None
-    for b in blocks:
-        rows = numbered.where(F.col("block_") == b).select("qid", column).collect()
-        for at in range(0, len(rows), block):
-            ids = [r["qid"] for r in rows[at : at + block]]
-            m = np.array([r[column] for r in rows[at : at + block]], np.float64)
-            found = vectors.select(key, column).mapInArrow(_best(ids, m / np.linalg.norm(m, axis=1, keepdims=True), cut), f"qid long, {key} long, score double")
-            parts = found if parts is None else parts.unionAll(found)
+    for b in range(blocks):
+        rows = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).select("qid", column).collect()
+        if not rows:
+            continue
+        m = np.array([r[column] for r in rows], np.float64)
+        found = vectors.select(key, column).mapInArrow(_best([r["qid"] for r in rows], m / np.linalg.norm(m, axis=1, keepdims=True), cut), f"qid long, {key} long, score double")
+        found = found.checkpoint() if blocks > FEW_BLOCKS else found
+        parts = found if parts is None else parts.unionAll(found)
     if parts is None:
         parts = vectors.select(F.col(key).alias("qid"), key, F.lit(0.0).alias("score")).where("false")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), key))
