@@ -195,7 +195,7 @@ def path_boost(spark: SparkSession, d: str) -> DataFrame:
 # Symbols, vectors, fusion
 
 
-@query(f"WITH {sql.RECORDS} SELECT id, row_number() OVER (ORDER BY body_start IS NULL, file, start, id) AS rank FROM rec WHERE symbol = 'src1.en' OR qualified_symbol = 'src1.en'")
+@query(f"WITH {sql.RECORDS} SELECT id, CAST(row_number() OVER (ORDER BY body_start IS NULL, file, start, id) AS INTEGER) AS rank FROM rec WHERE symbol = 'src1.en' OR qualified_symbol = 'src1.en'")
 def exact_lookup(spark: SparkSession, d: str) -> DataFrame:
     found = retrieval.exact_symbol(recs(spark, d), " src1.en() ").select("id", "file", "start", "body_start")
     # The rows of one symbol are what the query returns, so numbering them in one task adds no bound.
@@ -226,7 +226,7 @@ def dense_topk(spark: SparkSession, d: str) -> DataFrame:
     return _dense(spark, d).select("id", r6("score").alias("score"))
 
 
-@query(f"""SELECT qid, id, round(score, 6) AS score, rank FROM (SELECT q.vec_id AS qid, e.vec_id AS id, {_COSINE.format('e.embedding', 'q.embedding')} AS score,
+@query(f"""SELECT qid, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT q.vec_id AS qid, e.vec_id AS id, {_COSINE.format('e.embedding', 'q.embedding')} AS score,
   row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COSINE.format('e.embedding', 'q.embedding')}, 9) DESC, e.vec_id) AS rank
   FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0) WHERE rank <= 10""")
 def dense_batch(spark: SparkSession, d: str) -> DataFrame:
@@ -309,7 +309,7 @@ def affected_files(spark: SparkSession, d: str) -> DataFrame:
     return changes.affected(files(spark, d).select("path"), ["src2", "src1/en/1.src"])
 
 
-@query("SELECT count(*) AS files, count(DISTINCT source) AS sources, sum(length(text)) AS chars FROM documents")
+@query("SELECT count(*) AS files, count(DISTINCT source) AS sources, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents")
 def index_stats(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").agg(F.count("*").alias("files"), F.count_distinct("source").alias("sources"), F.sum(F.length("text")).alias("chars"))
 
@@ -348,7 +348,7 @@ def _targets(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "labels").select((F.col("doc_id") % 50).alias("qid"), F.concat(F.lit("f"), (F.col("doc_id") % 5).cast("string")).alias("file"), F.lit("en").alias("symbol"), F.lit(None).cast("string").alias("qualified_symbol"), at.alias("start"), (at + 5).alias("end"), at.alias("evidence_start"), (at + 3).alias("evidence_end")).distinct()
 
 
-_EVAL = """res AS (SELECT doc_id % 50 AS qid, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY n_chars DESC, doc_id) AS rank, 'f' || doc_id % 5 AS file, lang AS symbol,
+_EVAL = """res AS (SELECT doc_id % 50 AS qid, CAST(row_number() OVER (PARTITION BY doc_id % 50 ORDER BY n_chars DESC, doc_id) AS INTEGER) AS rank, 'f' || doc_id % 5 AS file, lang AS symbol,
     CAST(doc_id % 100 + 1 AS INTEGER) AS start, CAST(doc_id % 100 + 21 AS INTEGER) AS "end", CAST(doc_id % 100 + 4 AS INTEGER) AS preview_start FROM documents QUALIFY rank <= 50),
   tar AS (SELECT DISTINCT doc_id % 50 AS qid, 'f' || doc_id % 5 AS file, 'en' AS symbol, CAST(doc_id % 90 + 1 AS INTEGER) AS start, CAST(doc_id % 90 + 6 AS INTEGER) AS "end" FROM labels),
   hit AS (SELECT res.qid, res.rank, tar.file, tar.start, tar."end", preview_start FROM res JOIN tar ON res.qid = tar.qid AND res.file = tar.file AND res.symbol = tar.symbol AND res.start <= tar."end" AND res."end" >= tar.start),
