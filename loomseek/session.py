@@ -13,7 +13,10 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Hands the package to the Python workers of this application, once: they need not have it installed."""
+    """Hands the package to the Python workers of this application, once: they need not have it installed.
+
+    The archive is a file of the driver's own, which it serves to every executor, also to those that come later.
+    """
     context = spark.sparkContext
     root = Path(__file__).resolve().parent
     if context.applicationId in _shipped or not root.is_dir():
