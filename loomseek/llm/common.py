@@ -6,7 +6,9 @@ to the driver and to every executor, so a lost executor costs a re-read and neve
 
 from __future__ import annotations
 
-import os
+import atexit
+import re
+import shutil
 import tempfile
 import threading
 import uuid
@@ -33,11 +35,12 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all machines share. Where none is set (as in local tests) a temporary one is made and set."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir names no folder that the executors share")
-    found = f"file://{tempfile.mkdtemp(prefix='loomseek-')}"
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    folder = tempfile.mkdtemp(prefix="loomseek-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", f"file://{folder}")
+    return f"file://{folder}"
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -83,8 +86,17 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
             open_[-1].extend(p for p in mine if p in kept)
         for path in mine:
             if path not in kept:
-                p = spark._jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+                _delete(spark, path)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a staged table that nothing will read again."""
+    _delete(df.sparkSession, df.staged_path_)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 #: What names a row of a Parquet table, whatever columns are read and however files are split.

@@ -40,8 +40,8 @@ MINIMA = BANDS * ROWS
 WORDS_64 = MINIMA * BITS // 64
 #: Link at 100 * common >= PERCENT * union; estimates below LEAST_ESTIMATE are hopeless (standard error 0.041 at 0.75).
 PERCENT, LEAST_ESTIMATE = 75, 0.52
-#: Estimated similarity to a hub from which a text belongs to its family, and texts in a block of a family.
-FAMILY_ESTIMATE, BLOCK = 0.35, 1000
+#: Estimated similarity to a hub from which a text belongs to its family, and about how many texts and shingles a block of a family has.
+FAMILY_ESTIMATE, BLOCK, BLOCK_SHINGLES = 0.35, 1000, 1_000_000
 _LOW_BITS = 0x5555555555555555
 _LOWER = bytes.maketrans(common.UPPER.encode(), common.LOWER.encode())
 _M = (1 << 64) - 1
@@ -168,13 +168,13 @@ def _estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 def _families(stars: DataFrame, texts: DataFrame, found: DataFrame) -> DataFrame | None:
     """Links between members of one hub that are in different components so far; None if no hub has such members.
 
-    A hub's members are dealt to blocks, and each pair of blocks is one group of at most about 2 * BLOCK texts, which
-    a task compares by counting common shingles; of several links between two components it passes on one.
+    A hub's members are dealt to blocks, and each pair of blocks is one group of about 2 * BLOCK texts or 2 * BLOCK_SHINGLES
+    shingles at most, which a task compares by counting common shingles; of several links between two components it passes on one.
     """
-    members = stars.select(F.col("b").alias("hub_"), F.col("a").alias("row_")).unionAll(stars.select(F.col("b").alias("hub_"), F.col("b").alias("row_")).distinct())
+    members = stars.select(F.col("b").alias("hub_"), F.col("a").alias("row_"), F.col("na_").alias("size_")).unionAll(stars.select(F.col("b").alias("hub_"), F.col("b").alias("row_"), F.col("nb_").alias("size_")).distinct())
     at = members.join(found.select(F.col("node").alias("row_"), "component"), "row_", "left").withColumn("component", F.coalesce("component", "row_"))
     at = common.staged(at, "family-members")
-    mixed = at.groupBy("hub_").agg(F.min("component").alias("low_"), F.max("component").alias("high_"), F.count("*").alias("n_")).where("low_ < high_").select("hub_", F.ceil(F.col("n_") / BLOCK).cast("int").alias("blocks_"))
+    mixed = at.groupBy("hub_").agg(F.min("component").alias("low_"), F.max("component").alias("high_"), F.greatest(F.count("*") / BLOCK, F.sum("size_") / BLOCK_SHINGLES).alias("n_")).where("low_ < high_").select("hub_", F.ceil("n_").cast("int").alias("blocks_"))
     mixed = common.staged(mixed, "mixed-families")
     if mixed.isEmpty():
         return None

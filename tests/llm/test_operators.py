@@ -94,6 +94,13 @@ def test_families_find_links_that_no_star_shows():
     assert minhash.block_links(members[:2], True) == []
 
 
+def test_families_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    rows = corpus(n=10, seed=8)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {i: c for i, (_, c) in linked(rows).items()}
+
+
 def test_bit_estimate_is_corrected_for_collisions(spark):
     rnd = np.random.default_rng(1)
     h = rnd.integers(0, 1 << 63, 4000).astype(np.uint64)
