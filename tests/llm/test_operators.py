@@ -144,6 +144,23 @@ def test_passages_are_found_and_clean_documents_left_alone(spark):
     assert passages.shared_passages(frame(spark, [])).count() == 0
 
 
+def test_passages_on_both_sides_of_an_inserted_block(spark):
+    rnd = random.Random(21)
+    make = lambda k: [f"{rnd.choice('abcdefgh')}{rnd.randint(0, 30000)}" for _ in range(k)]
+    rows, halves = [], {}
+    for i, (n, k) in enumerate([(60, 60), (60, 100), (60, 150), (500, 400), (500, 1000)]):
+        one, two = make(n), make(n)
+        for j in (2 * i, 2 * i + 1):
+            rows.append((j, " ".join(make(20) + one + make(k if j % 2 else 0) + two + make(20)), None, None, None))
+            halves[j] = " ".join(one), " ".join(two)
+    found = passages.shared_passages(frame(spark, rows)).collect()
+    texts = {r[0]: words(r[1]) for r in rows}
+    for i, both in halves.items():
+        mine = [" ".join(texts[i][r["start"] : r["end"]]) for r in found if r["doc_id"] == i and r["partner_id"] == i ^ 1]
+        assert all(any(h in m for m in mine) for h in both)
+    assert all(r["partner_id"] == r["doc_id"] ^ 1 and r["identity"] >= 0.75 for r in found)
+
+
 def test_chain_agrees_with_the_quadratic_recurrence():
     rnd = random.Random(2)
     for _ in range(40):
