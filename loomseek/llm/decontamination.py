@@ -12,8 +12,8 @@ proportional to its size. No contained item is missed, and candidates are verifi
 
 The sketches are broadcast only if they count at most ``BROADCAST_ROWS`` rows, else joined by shuffle; so are
 the candidates. Nulls: a null or empty text has no shingles, contains nothing and is contained nowhere. Rows with
-one doc_id, null included, are one document as to the result: an item is in it if one row has it. Items with
-equal texts are searched once and reported under each id.
+one doc_id, null included, are one document as to the result of op6: an item is in it if one row has it. The pipeline's
+stage decides for each row by itself. Items with equal texts are searched once and reported under each id.
 """
 
 from __future__ import annotations
@@ -73,31 +73,36 @@ def item_sets(items: DataFrame) -> DataFrame:
     return sets.select("item_key_", "shingles_", q.alias("q_"), need.alias("need_"), F.floor(F.log2(q)).cast("int").alias("size_class_"), F.slice(F.array_sort("h_"), F.lit(1), q - need + 1).alias("sketch_"))
 
 
-def contained_items(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Which items are in which documents: doc_id, item_id, n_common, n_item, containment."""
+def _checked(docs: DataFrame, items: DataFrame, key: Column) -> DataFrame:
+    """One row for each row of docs and text of items in it, and its key: key_, item_key_, n_common, q_. Rows of one key probe as one."""
     sets = common.staged(item_sets(items), "item-sets")
     sketch = sets.select("item_key_", "need_", F.explode("sketch_").alias("h_"))
     # One row for each power of two of item sizes.
     classes = sets.groupBy("size_class_").agg(F.min("need_").alias("least"), F.max(F.array_max("sketch_")).alias("most")).collect()
     n_sketch = sketch.count()
-    ids_ = docs["doc_id"].cast("long").alias("doc_id")
 
     def probing(all_: Column) -> Column:
         """The size of the document and those of its hashes that a class open to this size can hold."""
         most = F.greatest(*(F.when(F.size(all_) >= c["least"], F.lit(c["most"])) for c in classes), F.lit(None).cast("long"), F.lit(None).cast("long"))
         return F.struct(F.size(all_).alias("n"), let(most, lambda t: F.filter(all_, lambda h: h <= t)).alias("h"))
 
-    probed = docs.select(ids_, let(hashes(words(docs["text"])), probing).alias("p_"))
-    probes = probed.select("doc_id", F.col("p_.n").alias("n_"), F.explode("p_.h").alias("h_"))
-    hits = probes.join(_bounded(sketch, n_sketch), "h_").where("n_ >= need_").select("doc_id", "item_key_").distinct()
+    probed = docs.select(key.alias("key_"), let(hashes(words(docs["text"])), probing).alias("p_"))
+    probes = probed.select("key_", F.col("p_.n").alias("n_"), F.explode("p_.h").alias("h_"))
+    hits = probes.join(_bounded(sketch, n_sketch), "h_").where("n_ >= need_").select("key_", "item_key_").distinct()
     found = common.staged(hits, "candidates")
-    asked = found.groupBy("doc_id").agg(F.collect_list("item_key_").alias("item_keys_"))
-    n_asked = found.select("doc_id").distinct().count()
-    theirs = docs.select(docs["doc_id"].cast("long").alias("id_"), docs["text"].alias("text_")).join(_bounded(asked, n_asked), F.col("id_").eqNullSafe(F.col("doc_id")))
-    texts = theirs.select("doc_id", shingles(words(F.col("text_"))).alias("has_"), "item_keys_").select("doc_id", "has_", F.explode("item_keys_").alias("item_key_"))
+    asked = found.groupBy("key_").agg(F.collect_list("item_key_").alias("item_keys_"))
+    n_asked = found.select("key_").distinct().count()
+    theirs = docs.select(key.alias("of_"), docs["text"].alias("text_")).join(_bounded(asked, n_asked), F.col("of_").eqNullSafe(F.col("key_")))
+    texts = theirs.select("key_", shingles(words(F.col("text_"))).alias("has_"), "item_keys_").select("key_", "has_", F.explode("item_keys_").alias("item_key_"))
     n_sets = sets.count()
     common_ = F.size(F.array_intersect("shingles_", "has_"))
     checked = texts.join(_bounded(sets.select("item_key_", "shingles_", "q_", "need_"), n_sets), "item_key_").withColumn("n_common", common_).where("n_common >= need_")
+    return checked.select("key_", "item_key_", "n_common", "q_")
+
+
+def contained_items(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Which items are in which documents: doc_id, item_id, n_common, n_item, containment."""
+    checked = _checked(docs, items, docs["doc_id"].cast("long")).withColumnRenamed("key_", "doc_id")
     best = checked.groupBy("doc_id", "item_key_").agg(F.max("n_common").cast("long").alias("n_common"), F.max("q_").cast("long").alias("n_item"))
     ids = items.select(items["item_id"].cast("long").alias("item_id"), common.text_key(items["text"]).alias("item_key_")).distinct()
     return best.join(ids, "item_key_").select("doc_id", "item_id", "n_common", "n_item", (F.col("n_common") / F.col("n_item")).alias("containment"))
@@ -109,13 +114,13 @@ def op6(spark, sf_dir: str) -> DataFrame:
 
 
 def without_items(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that hold a benchmark item go."""
+    """Pipeline stage: rows that hold a benchmark item go, and no other row of their doc_id."""
+    names, docs = docs.columns, common.located(docs)
+    place = F.struct(common.FILE, common.PLACE)
     with common.scratch(spark) as keep:
-        bad = keep(common.staged(contained_items(docs, common.table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("bad_id_")).distinct(), "contaminated"))
-    names = docs.columns
-    safe = docs.toDF(*(f"c{i}_" for i in range(len(names))))
-    key = F.col(f"c{names.index('doc_id')}_").cast("long")
-    return safe.join(bad, key.eqNullSafe(F.col("bad_id_")), "left_anti").toDF(*names)
+        bad = keep(common.staged(_checked(docs, common.table(spark, sf_dir, "benchmark"), place).select(F.col("key_").alias("bad_")).distinct(), "contaminated"))
+    safe = docs.toDF(*(f"c{i}_" for i in range(len(names))), common.FILE, common.PLACE)
+    return safe.join(bad, place.eqNullSafe(F.col("bad_")), "left_anti").drop(common.FILE, common.PLACE).toDF(*names)
 
 
 SQL = r"""

@@ -29,6 +29,18 @@ def test_stages_keep_what_they_should(spark, tmp_path):
     assert corpus_pipeline.run(spark, d).count() == out.count()
 
 
+def test_clean_rows_stay_beside_contaminated_rows_of_their_id(spark, tmp_path):
+    d = f"file://{tmp_path}"
+    item = " ".join(f"leak{i}" for i in range(20))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    clean = [(None, "a clean text with a null id", "en", "a", 1), (None, None, "en", "a", 2), (4, "a clean text of id four", "en", "a", 3), (4, "a clean text of id four", "en", "a", 4), (5, "alone", "en", "a", 5)]
+    rows = clean + [(None, "before " + item, "en", "a", 6), (4, item + " after", "en", "a", 7), (4, item + " after", "en", "a", 8)]
+    frame(spark, rows).repartition(3).write.parquet(f"{d}/documents.parquet")
+    for docs in (common.table(spark, d, "documents"), frame(spark, rows)):
+        kept = corpus_pipeline.drop_benchmark(spark, docs, d)
+        assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=str) == sorted(clean, key=str)
+
+
 def test_stages_of_an_empty_table(spark, tmp_path):
     d = f"file://{tmp_path}"
     frame(spark, []).write.parquet(f"{d}/documents.parquet")
