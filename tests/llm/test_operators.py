@@ -161,6 +161,20 @@ def test_passages_on_both_sides_of_an_inserted_block(spark):
     assert all(r["partner_id"] == r["doc_id"] ^ 1 and r["identity"] >= 0.75 for r in found)
 
 
+def test_passages_of_lines_that_were_first_in_other_documents(spark):
+    rnd = random.Random(22)
+    make = lambda k: [f"{rnd.choice('abcdefgh')}{rnd.randint(0, 30000)}" for _ in range(k)]
+    rows, n = [], 20
+    for i in range(n):
+        lines = [make(18) for _ in range(3)]
+        rows += [(100 * i + j, " ".join(make(60) + line + make(60)), None, None, None) for j, line in enumerate(lines)]
+        rows += [(100 * i + j, " ".join(make(40) + sum(lines, []) + make(40)), None, None, None) for j in (50, 51)]
+    spark_rows = frame(spark, rows).coalesce(1)
+    found = passages.shared_passages(spark_rows).collect()
+    assert {(r["doc_id"], r["partner_id"]) for r in found} == {(100 * i + j, 100 * i + k) for i in range(n) for j, k in ((50, 51), (51, 50))}
+    assert all(r["end"] - r["start"] >= 54 and r["identity"] == 1 for r in found)
+
+
 def test_chain_agrees_with_the_quadratic_recurrence():
     rnd = random.Random(2)
     for _ in range(40):
