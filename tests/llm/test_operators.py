@@ -175,6 +175,22 @@ def test_passages_of_lines_that_were_first_in_other_documents(spark):
     assert all(r["end"] - r["start"] >= 54 and r["identity"] == 1 for r in found)
 
 
+def test_edited_passages_are_found(spark):
+    rnd = random.Random(23)
+    make = lambda k: [f"{rnd.choice('abcdefgh')}{rnd.randint(0, 300000)}" for _ in range(k)]
+    rows, n, kinds = [], 40, [(k, percent) for k in (55, 80) for percent in (5, 10, 15, 20)]
+    for i, (k, percent) in enumerate(kind for kind in kinds for _ in range(n)):
+        one = make(k)
+        two = [make(1)[0] if rnd.random() < percent / 100 else w for w in one]
+        rows += [(2 * i + j, " ".join(make(40) + w + make(40)), None, None, None) for j, w in enumerate((one, two))]
+    found = passages.shared_passages(frame(spark, rows)).collect()
+    assert all(r["partner_id"] == r["doc_id"] ^ 1 and r["identity"] >= 0.75 for r in found)
+    got = Counter(kinds[i // 2 // n] for i in {r["doc_id"] for r in found})
+    recall = {kind: got[kind] / 2 / n for kind in kinds}
+    print(recall)
+    assert min(recall[k, percent] for k in (55, 80) for percent in (5, 10)) >= 0.9 and recall[80, 15] >= 0.9, recall
+
+
 def test_chain_agrees_with_the_quadratic_recurrence():
     rnd = random.Random(2)
     for _ in range(40):
