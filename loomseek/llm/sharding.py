@@ -9,7 +9,8 @@ capacities meet; the capacity found is therefore exact. Among the cuts that resp
 to even shares are taken, from left to right; where that depends on unknown boundaries, they are refined too.
 
 Nulls: a null text has size 16 and is a group of its own; an empty text likewise. A null doc_id sorts first.
-Repeated rows keep a row, and a slot, each. Empty tables give no rows. Other columns are left alone.
+Repeated rows keep a row, and a slot, each. Empty tables give no rows. Other columns are left alone; a carried one that has the name
+of a result's column (size, shard, slot and so on, in whatever case) is called ``document_<name>`` there.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ from pyspark.sql import functions as F
 
 from loomseek.llm import common
 
-#: Bytes that every row counts besides its text.
+#: Bytes that every row counts besides its text, and the columns of the result.
 OVERHEAD = 16
+OWN = ("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 @dataclass
@@ -168,9 +170,20 @@ def minimax_shards(docs: DataFrame, shards: int = 40, carry: tuple[str, ...] = (
     out = dealt.withColumn("slot", F.col("run_one_") - F.element_at(start, F.col("shard"))).select("doc_id", "size", "text_crc32", "shard", "slot", "file_", "place_")
     if not carry:
         return out.drop("file_", "place_")
-    held = docs.select(*(docs[c].alias(f"carried_{i}") for i, c in enumerate(carry)), *(p.alias(f"{n}of_") for n, p in zip(("file_", "place_"), place, strict=True)))
+    held = docs.select(*(docs[common.quoted(c)].alias(f"carried_{i}") for i, c in enumerate(carry)), *(p.alias(f"{n}of_") for n, p in zip(("file_", "place_"), place, strict=True)))
     both = out.join(held, (F.col("file_") == F.col("file_of_")) & (F.col("place_") == F.col("place_of_")))
-    return both.select(*out.columns[:5], *(F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)))
+    return both.select(*out.columns[:5], *(F.col(f"carried_{i}").alias(c) for i, c in enumerate(carried_names(carry))))
+
+
+def carried_names(carry: tuple[str, ...]) -> list[str]:
+    """Names of carried columns beside the result's own."""
+    taken, out = set(OWN), []
+    for name in carry:
+        while name.lower() in taken:
+            name = f"document_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
@@ -181,7 +194,7 @@ def op3(spark, sf_dir: str) -> DataFrame:
 
 def with_law(dealt: DataFrame) -> DataFrame:
     """The contract's columns: the law that the shards follow, and none for one more shard."""
-    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), *dealt.columns[5:])
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), *(common.quoted(c) for c in dealt.columns[5:]))
 
 
 #: The same in SQL: a binary search whose every step jumps to the last end that a shard can reach.
