@@ -18,7 +18,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,11 +55,11 @@ def small_batches(spark: SparkSession) -> None:
 _scopes = threading.local()
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage and fixes what was computed."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomseek/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     if open_ := getattr(_scopes, "open", None):
         open_[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -108,7 +108,13 @@ def located(docs: DataFrame) -> DataFrame:
     plan = docs._jdf.queryExecution().analyzed()
     if plan.getClass().getSimpleName() != "LogicalRelation" or "parquet" not in plan.toString().split("\n")[0]:
         docs = staged(docs, "input")
-    return docs.select("*", F.xxhash64("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(PLACE))
+    place = docs.metadataColumn("_metadata")
+    return docs.select("*", F.xxhash64(place["file_path"]).alias(FILE), place["row_index"].alias(PLACE))
+
+
+def quoted(name: str) -> str:
+    """A column's name as a reference to it, whatever signs it has."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -149,12 +155,12 @@ def sieve(rows: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(words), (word == F.col("word_")) & (F.col("bits_").bitwiseAND(bit) != 0), "left_semi")
 
 
-def texts_at(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(row_, text_) of the located docs' rows in wanted (row_, file_, place_): texts in UTF-8, null as empty."""
+def texts_at(docs: DataFrame, wanted: DataFrame, *carry: str) -> DataFrame:
+    """(row_, text_) of the located docs' rows in wanted (row_, file_, place_), with its columns ``carry``: texts in UTF-8, null as empty."""
     texts = docs.select(F.col(FILE).alias("of_file_"), F.col(PLACE).alias("of_place_"), F.coalesce(docs["text"], F.lit("")).cast("binary").alias("text_"))
     key = wanted.select(F.xxhash64("file_", "place_").alias("key_"))
     some = sieve(texts, F.xxhash64("of_file_", "of_place_"), key)
-    return some.join(wanted, (F.col("of_file_") == F.col("file_")) & (F.col("of_place_") == F.col("place_"))).select("row_", "text_")
+    return some.join(wanted, (F.col("of_file_") == F.col("file_")) & (F.col("of_place_") == F.col("place_"))).select("row_", *carry, "text_")
 
 
 def in_order(df: DataFrame, order: Sequence[str], sums: Sequence[str], within: str | None = None) -> DataFrame:
@@ -180,16 +186,9 @@ def in_order(df: DataFrame, order: Sequence[str], sums: Sequence[str], within: s
 
 
 def _offsets(totals: DataFrame, sums: Sequence[str], within: str | None) -> DataFrame:
-    """What stands before each range: one row for each range (and value in it), of no more rows than ranges and values."""
-    rows = totals.orderBy(*([within] if within else []), "part_").collect()
-    before, last, out = dict.fromkeys(sums, 0), object(), []
-    for r in rows:
-        if within and r[within] != last:
-            before, last = dict.fromkeys(sums, 0), r[within]
-        out.append((r["part_"], *([r[within]] if within else []), *(before[c] for c in sums)))
-        before = {c: before[c] + r[f"sum_{c}"] for c in sums}
-    fields = [T.StructField("at_", T.IntegerType()), *([T.StructField("of_", totals.schema[within].dataType)] if within else []), *(T.StructField(f"off_{c}", T.LongType()) for c in sums)]
-    return totals.sparkSession.createDataFrame(out, T.StructType(fields))
+    """What stands before each range: by a window over the ranges, of each value of ``within`` apart."""
+    before = Window.partitionBy(*([within] if within else [])).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select(F.col("part_").alias("at_"), *([F.col(within).alias("of_")] if within else []), *(F.coalesce(F.sum(f"sum_{c}").over(before), F.lit(0).cast("long")).alias(f"off_{c}") for c in sums))
 
 
 def _running(sums: list[str], within: str | None):
