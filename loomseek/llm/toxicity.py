@@ -20,13 +20,13 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -123,18 +123,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     chosen = known.where(~held_out(F.col("id_"))).groupBy("id_").agg(F.max("toxic_").alias("toxic_")).orderBy(F.xxhash64("id_"), "id_").limit(sample)
     # At most ``sample`` rows of two numbers: this bound is what makes the broadcast safe.
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("id_"))
-    one = rows.select("text", (F.col("toxic_") > 0).alias("toxic")).mapInArrow(_lead, "text string, toxic boolean, lead long").dropDuplicates(["lead", "toxic"])
-    return common.staged(one.select("text", "toxic"), "toxicity-sample")
-
-
-def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the smallest hash of five-word shingles: copies and most near copies share it, and teach once."""
-    for b in batches:
-        lead = []
-        for text in b.column(0).to_pylist():
-            w = (text or "").split()
-            lead.append(min((zlib.crc32(" ".join(w[i : i + 5]).encode()) for i in range(max(1, len(w) - 4))), default=0))
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lead, pa.int64())], names=["text", "toxic", "lead"])
+    return common.staged(rows.select("text", (F.col("toxic_") > 0).alias("toxic")), "toxicity-sample")
 
 
 def features(text: str) -> set[tuple[str, bool]]:
@@ -236,9 +225,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     common.small_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
-    def scored(texts):
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         ac = automaton(model)
-        return texts.map(lambda t: curve_score(rate(t, ac), model.curve))
+        for texts in batches:
+            yield texts.map(lambda t: curve_score(rate(t, ac), model.curve)).astype("float64")
 
     value = F.coalesce(scored(F.coalesce(docs["text"].cast("string"), F.lit(""))), F.lit(0.0))
     return docs.withColumns({"held_out": held_out(docs["doc_id"]), "score": value}).withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
