@@ -10,8 +10,9 @@ the power of two of their size. Each class has a bound on the hashes in its sket
 size; a document probes with those of its hashes that the classes open to its size can hold, so its sketch is
 proportional to its size. No contained item is missed, and candidates are verified by exact shingle containment.
 
-The sketches are broadcast only if they count at most ``BROADCAST_ROWS`` rows, else joined by shuffle; so are
-the candidates. Nulls: a null or empty text has no shingles, contains nothing and is contained nowhere. Rows with
+Sketches, candidates and the items' shingles are broadcast only if they have at most ``BROADCAST_BYTES``, which is measured, else joined by
+shuffle; before that, a bitmap of fixed size (``common.sieve``) takes out what has no partner, so neither all shingles nor all texts move.
+The rows are the same either way. Other columns of the tables, whatever their names, are not read, and empty tables give no rows. Nulls: a null or empty text has no shingles, contains nothing and is contained nowhere. Rows with
 one doc_id, null included, are one document as to the result of op6: an item is in it if one row has it. The pipeline's
 stage decides for each row by itself. Items with equal texts are searched once and reported under each id.
 """
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from loomseek.llm import common
 
 SHINGLE, PERCENT = 5, 75
-#: Rows (of two or three numbers, or one item's shingles) up to which a side is broadcast.
-BROADCAST_ROWS = 100_000
+#: Size up to which a side is broadcast, and what a row of numbers and keys counts.
+BROADCAST_BYTES, ROW_BYTES = 16 << 20, 100
 _BLANKS = " \t\n\x0b\f\r"
 
 
@@ -60,8 +61,9 @@ def hashes(w: Column) -> Column:
     return _over_shingles(w, lambda ws: F.xxhash64(*ws))
 
 
-def _bounded(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _met(rows: DataFrame, key: Column, side: DataFrame, n_bytes: int, on) -> DataFrame:
+    """rows joined with side, whose first column is what key must equal: by broadcast if side is small, else what can have no partner goes first."""
+    return rows.join(F.broadcast(side), on) if n_bytes <= BROADCAST_BYTES else common.sieve(rows, key, side.select(side.columns[0])).join(side, on)
 
 
 def item_sets(items: DataFrame) -> DataFrame:
@@ -76,10 +78,11 @@ def item_sets(items: DataFrame) -> DataFrame:
 def _checked(docs: DataFrame, items: DataFrame, key: Column) -> DataFrame:
     """One row for each row of docs and text of items in it, and its key: key_, item_key_, n_common, q_. Rows of one key probe as one."""
     sets = common.staged(item_sets(items), "item-sets")
-    sketch = sets.select("item_key_", "need_", F.explode("sketch_").alias("h_"))
+    sketch = sets.select(F.explode("sketch_").alias("h_"), "item_key_", "need_")
     # One row for each power of two of item sizes.
     classes = sets.groupBy("size_class_").agg(F.min("need_").alias("least"), F.max(F.array_max("sketch_")).alias("most")).collect()
-    n_sketch = sketch.count()
+    sizes = sets.agg(F.sum(F.size("sketch_") * ROW_BYTES), F.sum(F.octet_length(F.array_join("shingles_", "")) + ROW_BYTES)).head()
+    sketch_bytes, set_bytes = (n or 0 for n in sizes)
 
     def probing(all_: Column) -> Column:
         """The size of the document and those of its hashes that a class open to this size can hold."""
@@ -88,15 +91,14 @@ def _checked(docs: DataFrame, items: DataFrame, key: Column) -> DataFrame:
 
     probed = docs.select(key.alias("key_"), let(hashes(words(docs["text"])), probing).alias("p_"))
     probes = probed.select("key_", F.col("p_.n").alias("n_"), F.explode("p_.h").alias("h_"))
-    hits = probes.join(_bounded(sketch, n_sketch), "h_").where("n_ >= need_").select("key_", "item_key_").distinct()
+    hits = _met(probes, F.col("h_"), sketch, sketch_bytes, "h_").where("n_ >= need_").select("key_", "item_key_").distinct()
     found = common.staged(hits, "candidates")
     asked = found.groupBy("key_").agg(F.collect_list("item_key_").alias("item_keys_"))
-    n_asked = found.select("key_").distinct().count()
-    theirs = docs.select(key.alias("of_"), docs["text"].alias("text_")).join(_bounded(asked, n_asked), F.col("of_").eqNullSafe(F.col("key_")))
+    theirs = _met(docs.select(key.alias("of_"), docs["text"].alias("text_")), F.col("of_"), asked, found.count() * ROW_BYTES, F.col("of_").eqNullSafe(F.col("key_")))
     texts = theirs.select("key_", shingles(words(F.col("text_"))).alias("has_"), "item_keys_").select("key_", "has_", F.explode("item_keys_").alias("item_key_"))
-    n_sets = sets.count()
     common_ = F.size(F.array_intersect("shingles_", "has_"))
-    checked = texts.join(_bounded(sets.select("item_key_", "shingles_", "q_", "need_"), n_sets), "item_key_").withColumn("n_common", common_).where("n_common >= need_")
+    sides = sets.select("item_key_", "shingles_", "q_", "need_")
+    checked = texts.join(F.broadcast(sides) if set_bytes <= BROADCAST_BYTES else sides, "item_key_").withColumn("n_common", common_).where("n_common >= need_")
     return checked.select("key_", "item_key_", "n_common", "q_")
 
 
