@@ -7,8 +7,9 @@ is verified: rows that share one must agree in length and SHA-1 too, and what is
 
 Of the pages with equal payloads of at least ``least`` bytes, those with the largest page_id are response
 records and the others revisit it; smaller payloads are responses only. A null html counts as empty, a null
-page_id as smaller than any other, a null url as ``urn:page:``; repeated rows stay records of their own. Line ends and
-spaces in urls are percent-encoded.
+page_id as smaller than any other, a null url as ``urn:page:``; repeated rows stay records of their own, with a record id of their own (the
+page's, to which all but the first one add the place of the row). Line ends and spaces in urls are percent-encoded. Other columns, whatever their
+names, are not archived; an empty table makes an empty archive.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ def base32_sha1(data: Column) -> Column:
     return F.concat(*chars)
 
 
-def header(kind: Column, page_id: Column, url: Column, sha1: Column, n_bytes: Column, refers_to: Column) -> Column:
+def header(kind: Column, page_id: Column, again: Column, url: Column, sha1: Column, n_bytes: Column, refers_to: Column) -> Column:
     """The header block of a record, ended by an empty line."""
     clean = F.replace(F.replace(F.replace(url, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")), F.lit(" "), F.lit("%20"))
     urn = lambda x: F.concat(F.lit("<urn:page:"), F.coalesce(x.cast("string"), F.lit("")), F.lit(">"))
@@ -51,7 +52,7 @@ def header(kind: Column, page_id: Column, url: Column, sha1: Column, n_bytes: Co
     lines = [
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), kind),
-        F.concat(F.lit("WARC-Record-ID: "), urn(page_id)),
+        F.concat(F.lit("WARC-Record-ID: "), F.coalesce(F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")), F.lit("#"), again, F.lit(">")), urn(page_id))),
         F.lit(f"WARC-Date: {DATE}"),
         F.concat(F.lit("WARC-Target-URI: "), F.coalesce(clean, F.lit("urn:page:"))),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), sha1),
@@ -65,19 +66,22 @@ def header(kind: Column, page_id: Column, url: Column, sha1: Column, n_bytes: Co
 
 def write_archive(pages: DataFrame, least: int = 0) -> Archive:
     """Archives one record for each row of pages (page_id, url, html)."""
+    pages = common.located(pages)
     data = F.coalesce(pages["html"], F.lit("")).cast("binary")
-    rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].alias("url"), data.alias("payload")).withColumns({"digest": F.sha2("payload", 256), "n_bytes": F.length("payload").cast("long"), "sha1": F.sha1("payload")})
+    rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].alias("url"), F.struct(common.FILE, common.PLACE).alias("place"), data.alias("payload")).withColumns({"digest": F.sha2("payload", 256), "n_bytes": F.length("payload").cast("long"), "sha1": F.sha1("payload")})
     agree = (F.min("n_bytes") == F.max("n_bytes")) & (F.min("sha1") == F.max("sha1"))
     payloads = common.staged(
         rows.groupBy("digest").agg(F.first("payload").alias("payload"), F.max("page_id").alias("holder"), F.first("n_bytes").alias("n_bytes"), agree.alias("agree")).withColumn("payload", F.when(F.col("agree"), F.col("payload")).otherwise(F.raise_error(F.lit("different payloads have one digest")).cast("binary"))).drop("agree"),
         "warc-payloads",
     )
     # A page is narrow without its payload, and the hot digests of the left side can be split.
-    narrow = rows.select("page_id", "url", "digest", base32_sha1(F.col("payload")).alias("sha1"))
-    joined = narrow.join(payloads.select("digest", "holder", "n_bytes"), "digest")
+    repeated = common.staged(rows.groupBy("page_id").agg(F.min("place").alias("lead"), F.count("*").alias("n")).where("n > 1").select(F.col("page_id").alias("of"), "lead"), "warc-repeated")
+    narrow = rows.select("page_id", "url", "place", "digest", base32_sha1(F.col("payload")).alias("sha1")).join(repeated, F.col("page_id").eqNullSafe(F.col("of")), "left")
+    again = F.when(F.col("place") != F.col("lead"), F.concat_ws(".", F.col(f"place.{common.FILE}").cast("string"), F.col(f"place.{common.PLACE}").cast("string")))
+    joined = narrow.select("page_id", "url", "digest", "sha1", again.alias("again")).join(payloads.select("digest", "holder", "n_bytes"), "digest")
     kind = F.when((F.col("n_bytes") < least) | F.col("page_id").eqNullSafe(F.col("holder")), "response").otherwise("revisit")
     refers = F.when(kind == "revisit", F.col("holder"))
-    headers = joined.select("page_id", "digest", header(kind, F.col("page_id"), F.col("url"), F.col("sha1"), F.col("n_bytes"), refers).cast("binary").alias("header"))
+    headers = joined.select("page_id", "digest", header(kind, F.col("page_id"), F.col("again"), F.col("url"), F.col("sha1"), F.col("n_bytes"), refers).cast("binary").alias("header"))
     return Archive(common.staged(headers, "warc-headers"), payloads.select("digest", "payload"))
 
 
