@@ -8,7 +8,9 @@ A turn reads ``<turn ROLE>TEXT</turn>`` and a newline; inside roles and texts ``
 
 Turns stand in the order of (turn, role, text), nulls first; a null role or text counts as empty, a null
 conv_id as a conversation of its own, and repeated rows are turns of their own. Only the role ``assistant``
-is trainable. A conversation streams through one task batch by batch and holds its own formatted text only.
+is trainable. A conversation streams through one task batch by batch and holds its own formatted text only: an example holds all
+turns before it, so one conversation is one ordered stream and cannot be dealt to several tasks, and its output grows with the square of
+its turns. Rows with a null conv_id are one conversation likewise. An empty table gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ class's threshold are joined to one span of the kind ``entropy_<class>``. Runs t
 matches give no entropy span; base spans are never suppressed.
 
 Offsets count code points, ends are exclusive. A null text is empty and gives no spans. Texts are scanned
-whole; a task holds one Arrow batch of them.
+whole; a task holds one Arrow batch of them. Null ids and repeated rows are scanned row by row, an empty table gives no rows, spans
+that start together stand in the order of kinds, and other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
