@@ -54,6 +54,11 @@ def words(text: str) -> list[str]:
     return out
 
 
+def parser_lines(source: str) -> list[str]:
+    """The lines of a source text with their ends, as Python's parser counts them: only CR, LF and CR LF end a line."""
+    return re.findall(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+", source)
+
+
 def query_terms(text: str) -> list[str]:
     """Distinct tokens in order, without stop words."""
     return [w for w in dict.fromkeys(words(text)) if w not in STOP_WORDS]

@@ -10,7 +10,8 @@ import hashlib
 import os
 import subprocess
 from collections.abc import Iterator, Sequence
-from pathlib import Path, PurePosixPath
+from itertools import chain
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,22 +81,36 @@ def ignore_patterns(root: str | Path, name: str = IGNORE_FILE) -> list[str]:
     return [x.strip() for x in lines if x.strip() and not x.strip().startswith("#")]
 
 
+def _below(folder: str) -> Iterator[str]:
+    """Files under a folder, relative to it; skipped directories and links to directories are not entered."""
+    open_ = [""]
+    while open_:
+        at = open_.pop()
+        with os.scandir(os.path.join(folder, at)) as found:
+            for e in found:
+                path = f"{at}/{e.name}" if at else e.name
+                if not e.is_dir():
+                    yield path
+                elif e.name not in discovery.SKIP_DIRS and not e.is_symlink():
+                    open_.append(path)
+
+
+def _walked(base: Path, start: str) -> Iterator[str]:
+    at = base / start
+    place = at.relative_to(base).as_posix()
+    if at.is_file():
+        yield place
+    elif at.is_dir() and not at.is_symlink():
+        yield from (p if place == "." else f"{place}/{p}" for p in _below(str(at)))
+
+
 def listed(root: str | Path, only: Sequence[str] | None = None) -> list[str]:
     """Paths of the tree in code point order: what git tracks or would track, else every file not below a skipped directory."""
     base = Path(root).resolve()
     specs = [f":(literal){p}" for p in only or []]
     git = subprocess.run(["git", "-C", str(base), "ls-files", "-z", "--cached", "--others", "--exclude-standard", "--", *specs], capture_output=True)
-    if git.returncode == 0:
-        return sorted({p for p in git.stdout.decode("utf-8", "surrogateescape").split("\0") if p})
-    out: set[str] = set()
-    for start in only or ["."]:
-        at = base / start
-        if at.is_file():
-            out.add(PurePosixPath(at.relative_to(base)).as_posix())
-        for folder, dirs, names in os.walk(at):
-            dirs[:] = [d for d in dirs if d not in discovery.SKIP_DIRS and not (Path(folder) / d).is_symlink()]
-            out.update((Path(folder) / n).relative_to(base).as_posix() for n in names)
-    return sorted(out)
+    found = git.stdout.decode("utf-8", "surrogateescape").split("\0") if git.returncode == 0 else chain.from_iterable(_walked(base, p) for p in only or ["."])
+    return sorted(set(found) - {""})
 
 
 def files(spark: SparkSession, root: str | Path, only: Sequence[str] | None = None, ignore_file: str = IGNORE_FILE) -> DataFrame:
