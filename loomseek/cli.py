@@ -18,7 +18,7 @@ NAVIGATION = ("definitions", "references", "imports", "calls", "callers")
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="loomseek", description=__doc__)
     p.add_argument("--root", default=".")
-    p.add_argument("--home", default=os.environ.get("LOOMSEEK_HOME", f"file://{os.path.expanduser('~')}/.cache/loomseek"))
+    p.add_argument("--home", default=os.environ.get("LOOMSEEK_HOME"), help="folder of the index; on a cluster one that all machines share")
     p.add_argument("--ignore-file", default=None)
     sub = p.add_subparsers(dest="command", required=True)
     sub.add_parser("index")
@@ -35,6 +35,7 @@ def parser() -> argparse.ArgumentParser:
     check = sub.add_parser("evaluate")
     check.add_argument("labels")
     check.add_argument("--report")
+    check.add_argument("--sealed", action="store_true")
     for name in ("symbol", "regex", *NAVIGATION):
         sub.add_parser(name).add_argument("query", nargs="?", default="")
     for name in ("search", "symbol", "regex", *NAVIGATION):
@@ -62,7 +63,7 @@ def answer(engine: Engine, args: argparse.Namespace) -> object:
     if args.command == "read":
         return rows(engine.read(args.file, args.start, args.end))
     if args.command == "evaluate":
-        return evaluate.run(engine, args.labels, args.report)
+        return evaluate.run(engine, args.labels, args.report, args.sealed)
     context = json.load(open(args.context)) if getattr(args, "context", None) else None
     place = {k: getattr(args, k) for k in ("file", "line", "column") if hasattr(args, k)}
     mode = args.mode if args.command == "search" else args.command
@@ -74,7 +75,11 @@ def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("loomseek").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    engine = Engine(spark, args.home, args.root, **({"ignore_file": args.ignore_file} if args.ignore_file else {}))
+    if not args.home and not spark.sparkContext.master.startswith("local"):
+        print(json.dumps({"error": "--home must name a folder that all machines share"}), file=sys.stderr)
+        return 1
+    home = args.home or f"file://{os.path.expanduser('~')}/.cache/loomseek"
+    engine = Engine(spark, home, args.root, **({"ignore_file": args.ignore_file} if args.ignore_file else {}))
     try:
         print(json.dumps(answer(engine, args), default=str, ensure_ascii=False))
         return 0

@@ -7,6 +7,7 @@ nothing but candidates is shuffled. ``postings`` is the form to write and to joi
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 from functools import reduce
 from operator import add
@@ -50,6 +51,33 @@ def stemmed(fields: DataFrame, key: str = "id") -> DataFrame:
     return posts.join(stems, "term").groupBy(key, F.col("stem").alias("term")).agg(*sums)
 
 
+def stored(records: DataFrame, stems: bool = True) -> DataFrame:
+    """Postings by stem or token as an index has them: (term, id, tf_path, tf_symbol, tf_body, len), in ranges of terms, so a query reads the rows of its terms."""
+    sizes = records.select("id", length().alias("len"))
+    return (stemmed(records) if stems else postings(records)).join(sizes, "id").select("term", "id", "tf_path", "tf_symbol", "tf_body", "len").repartitionByRange("term").sortWithinPartitions("term", "id")
+
+
+def bm25_stored(posts: DataFrame, n: int, total: int, terms: Sequence[str], among: DataFrame | None = None, cut: int = PRE_CUT, key: str = "id") -> DataFrame:
+    """(key, lexical) of the best records by stored postings; ``among`` (key) filters candidates, not statistics.
+
+    One number for each term of the query comes to the driver. Parts are added in the order of the terms, so reruns agree.
+    """
+    asked = Counter(terms)
+    rows = posts.where(F.col("term").isin(list(asked)))
+    df = {r["term"]: r["n"] for r in rows.groupBy("term").agg(F.count("*").alias("n")).collect()}
+    if not df:
+        return posts.select(key, F.lit(0.0).alias("lexical")).limit(0)
+    tf = reduce(add, (F.lit(w) * F.col(f"tf_{c.removesuffix('_terms')}") for c, w in WEIGHTS.items()))
+    order = {t: i for i, t in enumerate(asked) if t in df}
+    idfs = F.create_map(*(x for t in order for x in (F.lit(t), _idf(n, F.lit(float(df[t]))) * asked[t])))
+    places = F.create_map(*(x for t, i in order.items() for x in (F.lit(t), F.lit(i))))
+    part = _part(F.element_at(idfs, F.col("term")), tf, F.col("len"), F.lit(total / n if n else 1.0))
+    scored = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.element_at(places, F.col("term")).alias("at"), part.alias("part")))).alias("parts_"))
+    scored = scored.select(key, F.aggregate("parts_", F.lit(0.0), lambda s, x: s + x["part"]).alias("lexical"))
+    kept = scored if among is None else scored.join(among.select(key), key, "left_semi")
+    return kept.orderBy(F.desc("lexical"), key).limit(cut)
+
+
 def _tf(term: str) -> Column:
     count = lambda c: F.size(F.filter(c, lambda t: t == F.lit(term)))
     return reduce(add, (F.lit(w) * count(c) for c, w in WEIGHTS.items()))
@@ -81,7 +109,7 @@ def bm25(fields: DataFrame, terms: Sequence[str], where: Column | None = None, c
 
 
 def bm25_from_postings(posts: DataFrame, sizes: DataFrame, queries: DataFrame, key: str = "id", cut: int = PRE_CUT) -> DataFrame:
-    """Many queries at once: queries (qid, term), with a term as often as it counts, to (qid, key, lexical), the best ``cut`` of each.
+    """Many queries at once: queries (qid, term), with a term as often as it counts, to (qid, key, lexical), the best ``cut`` of each, ties to nine digits.
 
     Postings meet queries by term; scores add up by (qid, key) before anything is ranked.
     """
@@ -93,7 +121,7 @@ def bm25_from_postings(posts: DataFrame, sizes: DataFrame, queries: DataFrame, k
     rows = asked.join(df, "term").join(posts, "term").join(sizes, key).crossJoin(size)
     scored = rows.withColumn("part_", F.col("times_") * _part(idf, tf, F.col("len"), F.col("mean_")))
     sums = scored.groupBy("qid", key).agg(F.sum("part_").alias("lexical"))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("lexical"), key))
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("lexical", 9)), key))
     return sums.withColumn("rank", rank).where(F.col("rank") <= cut)
 
 

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomseek import session
 from loomseek.functions import text
@@ -18,6 +21,7 @@ from loomseek.operators.records import LOOSE_KINDS
 RRF_K = 60
 #: Blocks of queries that one plan may hold.
 FEW_BLOCKS = 8
+RECORD_SECONDS, TASK_SECONDS = 0.02, 2.0
 MAX_PATTERN, MAX_SPAN_LINES, DEFAULT_SPAN_LINES, MAX_SPAN_CHARS = 1000, 200, 40, 32_000
 
 
@@ -129,10 +133,13 @@ def ranked(rows: DataFrame, key: str = "id", by: Sequence[str] = ()) -> DataFram
 
 
 def select(rows: DataFrame, limit: int, order: Sequence[Column | str]) -> DataFrame:
-    """The first row of each symbol of a file (windows: of each start), then the first ``limit`` of those."""
+    """The first row of each symbol of a file (windows: of each start), then the first ``limit`` of those; ``order`` ascends.
+
+    Tasks keep the first row of their own before anything is shuffled, so a frequent symbol is no load.
+    """
     place = F.when(F.col("kind").isin(*LOOSE_KINDS), F.col("start"))
-    first = F.row_number().over(Window.partitionBy("file", "qualified_symbol", place).orderBy(*order))
-    return rows.withColumn("first_", first).where("first_ = 1").drop("first_").orderBy(*order).limit(limit)
+    first = rows.groupBy("file", "qualified_symbol", place.alias("place_")).agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("first_"))
+    return first.select("first_.*").orderBy(*order).limit(limit)
 
 
 def present(rows: DataFrame, terms: Sequence[str]) -> DataFrame:
@@ -155,6 +162,44 @@ def regex_scan(records: DataFrame, pattern: str, limit: int) -> DataFrame:
     return found.withColumns({"score": F.lit(1.0), "matched_by": F.lit("regex"), "preview_start": (F.col("start") + offset).cast("int"), "preview": window})
 
 
+def regex_search(records: DataFrame, pattern: str, limit: int) -> DataFrame:
+    """``regex_scan`` in Python's dialect and with a time for each record and for each task; TimeoutError beyond them.
+
+    A task passes on its first ``limit`` matches by id and no more.
+    """
+    if not pattern or len(pattern) > MAX_PATTERN:
+        raise ValueError(f"a pattern has 1 to {MAX_PATTERN} characters")
+    regex.compile(pattern)
+    session.ship(records.sparkSession)
+    columns = records.columns
+    schema = T.StructType([*records.schema.fields, T.StructField("offset_", T.IntegerType())])
+    found = records.sortWithinPartitions("id").mapInArrow(_matching(pattern, columns.index("raw"), limit), schema).orderBy("id").limit(limit)
+    window = F.array_join(F.slice(text.lines(F.col("raw")), F.col("offset_") + 1, F.lit(12)), "\n")
+    shown = found.withColumns({"score": F.lit(1.0), "matched_by": F.lit("regex"), "preview_start": (F.col("start") + F.col("offset_")).cast("int"), "preview": window})
+    return shown.drop("offset_")
+
+
+def _matching(pattern: str, raw: int, limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, spent, kept = regex.compile(pattern), 0.0, 0
+        for b in batches:
+            at, offsets = [], []
+            began = time.monotonic()
+            for i, body in enumerate(b.column(raw).to_pylist()):
+                if kept == limit:
+                    break
+                if spent + time.monotonic() - began > TASK_SECONDS:
+                    raise TimeoutError("the pattern takes too long")
+                if match := asked.search(body or "", timeout=RECORD_SECONDS):
+                    at.append(i)
+                    offsets.append(body[: match.start()].count("\n"))
+                    kept += 1
+            spent += time.monotonic() - began
+            yield pa.RecordBatch.from_arrays([*b.take(pa.array(at, pa.int64())).columns, pa.array(offsets, pa.int32())], names=[*b.schema.names, "offset_"])
+
+    return run
+
+
 def read_span(files: DataFrame, path: str | None = None, start: int = 1, end: int | None = None) -> DataFrame:
     """Lines start to end of a file (all files without a path), within the bounds; truncated says if they cut something."""
     if start < 1 or (end is not None and end < start):

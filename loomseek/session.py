@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -12,6 +15,18 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
+def workspace(spark: SparkSession) -> str:
+    """The folder that all machines share. Where none is set (as in local tests) a temporary one is made and set."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir names no folder that the executors share")
+    folder = tempfile.mkdtemp(prefix="loomseek-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", f"file://{folder}")
+    return f"file://{folder}"
+
+
 def ship(spark: SparkSession) -> None:
     """Hands the package to the Python workers of this application, once: they need not have it installed.
 

@@ -7,6 +7,7 @@ failed refresh leaves the old one in place. Only Spark's file systems are used.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,14 +27,18 @@ def generations(spark: SparkSession, home: str) -> list[int]:
     return sorted(int(re.search(r"gen=(\d+)", s.getPath().toString())[1]) for s in found)
 
 
-def publish(spark: SparkSession, home: str, tables: dict[str, DataFrame], generation: int) -> int:
-    """Writes the tables as a generation and makes it current."""
+Table = DataFrame | Callable[[Callable[[str], DataFrame]], DataFrame]
+
+
+def publish(spark: SparkSession, home: str, tables: dict[str, Table], generation: int) -> int:
+    """Writes the tables as a generation and makes it current. A table may be a function of the reader of those written before it."""
     base = f"{home}/gen={generation:09d}"
     fs, p = _fs(spark, base)
     if generation in generations(spark, home):
         raise ValueError(f"generation {generation} is there")
     fs.delete(p, True)  # what a failed attempt has left
-    for name, df in tables.items():
+    for name, table in tables.items():
+        df = table if isinstance(table, DataFrame) else table(lambda written: spark.read.parquet(f"{base}/{written}"))
         df.write.parquet(f"{base}/{name}")
     fs.create(_fs(spark, f"{base}/{MARKER}")[1]).close()
     return generation

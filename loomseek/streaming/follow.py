@@ -1,13 +1,15 @@
 """Change events to refreshed snapshots by Structured Streaming.
 
 Events are rows (path, kind, seq) of an append-only log. A micro-batch names each path once; a batch that
-touches what decides about other files is a full reconcile.
+touches what decides about other files is a full reconcile, and so is one that comes every half minute whatever happened.
 """
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -23,6 +25,8 @@ DECIDING = (IGNORE_FILE, ".gitignore", "tsconfig.json")
 GIT_STATE = r"(^|/)\.git/(HEAD|index|packed-refs|info/exclude|config|refs/.*)$"
 #: Paths beyond which a batch is reconciled as a whole.
 MAX_PATHS = 100
+#: Seconds between whole refreshes.
+RECONCILE_SECONDS = 30.0
 
 
 def relevant(events: DataFrame) -> DataFrame:
@@ -55,9 +59,32 @@ def batch(engine: Engine, files: Callable[[], DataFrame] | None = None) -> Calla
     return run
 
 
-def follow(spark: SparkSession, log: str, engine: Engine, checkpoint: str, files: Callable[[], DataFrame] | None = None, trigger: dict | None = None) -> StreamingQuery:
-    """Follows a folder of JSON event files."""
+def reconcile(query: StreamingQuery, engine: Engine, files: Callable[[], DataFrame] | None, every: float) -> None:
+    """Refreshes everything from time to time while the query runs, for changes whose events were lost."""
+    while not query.awaitTermination(every):
+        try:
+            engine.refresh(None, files() if files else None)
+        except Exception:  # noqa: BLE001 - kept in engine.error, as a batch's failure is: queries raise it
+            continue
+
+
+def follow(spark: SparkSession, log: str, engine: Engine, checkpoint: str, files: Callable[[], DataFrame] | None = None, trigger: dict | None = None, every: float | None = RECONCILE_SECONDS) -> StreamingQuery:
+    """Follows a folder of JSON event files, with a whole refresh every ``every`` seconds beside it."""
     stream = spark.readStream.schema(SCHEMA).json(log)
+    query = _started(stream, engine, checkpoint, files, trigger)
+    if every:
+        threading.Thread(target=_until_the_end, args=(query, engine, files, every), daemon=True).start()
+    return query
+
+
+def _until_the_end(query: StreamingQuery, engine: Engine, files: Callable[[], DataFrame] | None, every: float) -> None:
+    try:
+        reconcile(query, engine, files, every)
+    except StreamingQueryException:
+        return  # the query has failed and says so itself
+
+
+def _started(stream: DataFrame, engine: Engine, checkpoint: str, files: Callable[[], DataFrame] | None, trigger: dict | None) -> StreamingQuery:
     return stream.writeStream.foreachBatch(batch(engine, files)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "50 milliseconds"})).start()
 
 
