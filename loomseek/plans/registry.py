@@ -6,6 +6,7 @@ give edges and spans; events are change events.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -63,6 +64,22 @@ def fields(spark: SparkSession, d: str) -> DataFrame:
     return records.posting_fields(recs(spark, d), F.col("file"), F.col("qualified_symbol"), F.col("raw"))
 
 
+_indexes: dict[tuple[str, str, str], tuple[DataFrame, int, int]] = {}
+
+
+def index(spark: SparkSession, d: str, stems: bool = False) -> tuple[DataFrame, int, int]:
+    """Stored postings of a table's documents, by token or by stem, and the numbers of records and tokens; written at the first call of a session."""
+    key = (spark.sparkContext.applicationId, d, "stems" if stems else "tokens")
+    if key not in _indexes:
+        session.ship(spark)
+        path = f"{session.workspace(spark)}/loomseek/index-{uuid.uuid4().hex}"
+        lexical.stored(fields(spark, d), stems).write.parquet(path)
+        posts = spark.read.parquet(path)
+        total = posts.agg(F.sum(F.col("tf_path") + F.col("tf_symbol") + F.col("tf_body"))).head()[0] or 0
+        _indexes[key] = posts, table(spark, d, "documents").count(), total
+    return _indexes[key]
+
+
 TERMS = text.query_terms(ASKED)
 r6 = lambda c: F.round(c, 6)
 
@@ -131,11 +148,13 @@ def term_df(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {sql.bm25(TERMS)} SELECT id, round(lexical, 6) AS lexical FROM best")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.bm25(fields(spark, d), TERMS).select("id", r6("lexical").alias("lexical"))
+    return lexical.bm25_stored(*index(spark, d), TERMS).select("id", r6("lexical").alias("lexical"))
 
 
 def _reranked(spark: SparkSession, d: str, where: Column | None = None) -> DataFrame:
-    return lexical.rerank(lexical.bm25(fields(spark, d), TERMS, where), TERMS)
+    rows = recs(spark, d)
+    best = lexical.bm25_stored(*index(spark, d), TERMS, None if where is None else rows.where(where))
+    return lexical.rerank(rows.join(F.broadcast(best), "id"), TERMS)
 
 
 _COVERED = sql.tok("file || ' ' || symbol || ' ' || raw")
@@ -157,17 +176,14 @@ def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def bm25_stemmed(spark: SparkSession, d: str) -> DataFrame:
-    session.ship(spark)
-    held = fields(spark, d)
-    stems = [(0, s) for s in lexical.stems_of(TERMS)]
-    asked = spark.createDataFrame(stems, "qid int, term string")
-    return lexical.bm25_from_postings(lexical.stemmed(held), lexical.lengths(held), asked).select("qid", "id", r6("lexical").alias("lexical"), "rank")
+    best = retrieval.ranked(lexical.bm25_stored(*index(spark, d, stems=True), lexical.stems_of(TERMS)).withColumnRenamed("lexical", "score"))
+    return best.select(F.lit(0).alias("qid"), "id", r6("score").alias("lexical"), "rank")
 
 
 _BATCH = f"""WITH {sql.RECORDS}, {sql.FIELDS}, u AS (SELECT id, unnest(pt) AS term, 3.0 AS w FROM f UNION ALL SELECT id, unnest(st), 5.0 FROM f UNION ALL SELECT id, unnest(bt), 1.0 FROM f),
 p AS (SELECT id, term, sum(w) AS tf FROM u GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
 z AS (SELECT id, len(pt) + len(st) + len(bt) AS d FROM f), s AS (SELECT count(*) AS n, avg(d) AS mean FROM z),
-q AS (SELECT item_id AS qid, unnest(list_slice({sql.tok('text')}, 1, 6)) AS term FROM benchmark),
+q AS (SELECT item_id AS qid, unnest({sql.tok('text')}) AS term FROM benchmark),
 qt AS (SELECT qid, term, count(*) AS times FROM q GROUP BY ALL),
 sc AS (SELECT qid, id, sum(times * greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * d / mean))) AS lexical
   FROM qt JOIN df USING (term) JOIN p USING (term) JOIN z USING (id), s GROUP BY qid, id)
@@ -176,9 +192,10 @@ SELECT qid, id, round(lexical, 6) AS lexical FROM (SELECT *, row_number() OVER (
 
 @query(_BATCH)
 def bm25_batch(spark: SparkSession, d: str) -> DataFrame:
-    held = fields(spark, d)
-    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.explode(F.slice(text.tokens(F.col("text")), 1, 6)).alias("term"))
-    return lexical.bm25_from_postings(lexical.postings(held), lexical.lengths(held), asked, cut=10).select("qid", "id", r6("lexical").alias("lexical"))
+    posts, _, _ = index(spark, d)
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.explode(text.tokens(F.col("text"))).alias("term"))
+    sizes = lexical.lengths(fields(spark, d))
+    return lexical.bm25_from_postings(posts.drop("len"), sizes, asked, cut=10).select("qid", "id", r6("lexical").alias("lexical"))
 
 
 @query(f"WITH {sql.RECORDS} SELECT id, round({sql.coverage(TERMS, _COVERED)}, 6) AS coverage FROM rec")
@@ -257,7 +274,7 @@ _CANDIDATE = "SELECT id, symbol AS file, qualified_symbol, kind, CAST(id % 5 AS
 SELECT id, file, qualified_symbol, start FROM k WHERE n = 1 ORDER BY score DESC, id LIMIT 50""")
 def select_dedupe(spark: SparkSession, d: str) -> DataFrame:
     rows = recs(spark, d).select("id", F.col("symbol").alias("file"), "qualified_symbol", "kind", (F.col("id") % 5).cast("int").alias("start"), F.length("raw").cast("double").alias("score"))
-    return retrieval.select(rows, 50, [F.desc("score"), F.col("id")]).select("id", "file", "qualified_symbol", "start")
+    return retrieval.select(rows, 50, [-F.col("score"), F.col("id")]).select("id", "file", "qualified_symbol", "start")
 
 
 @query(f"""WITH {sql.RECORDS}, l AS (SELECT id, start, {sql.split_lines('raw')} AS ls FROM rec),
@@ -400,9 +417,9 @@ _DEFS = """(VALUES ('C', 'C', 'ClassDef', 4, 0, 9, 16), ('run', 'C.run', 'Functi
 _M = "m AS (SELECT s_suppkey AS k, 'm' || s_suppkey || '.py' AS file, EXISTS (SELECT 1 FROM supplier n WHERE n.s_suppkey = supplier.s_suppkey + 1) AS next FROM supplier)"
 
 
-@query("""SELECT 'm' || s_suppkey || '.py' AS file, v.* FROM supplier, (VALUES ('C', 'C', 'class', 3, 4), ('run', 'C.run', 'method', 5, 6), ('go', 'C.go', 'method', 8, 9), ('f', 'f', 'function', 12, 13), ('LIMIT', 'LIMIT', 'variable', 16, 16)) AS v(symbol, qualified_symbol, kind, start, "end")""")
+@query("""SELECT 'm' || s_suppkey || '.py' AS file, v.* FROM supplier, (VALUES ('C', 'C', 'class', 3, 4, NULL), ('run', 'C.run', 'method', 5, 6, 5), ('go', 'C.go', 'method', 8, 9, 8), ('f', 'f', 'function', 12, 13, 12), ('LIMIT', 'LIMIT', 'variable', 16, 16, NULL)) AS v(symbol, qualified_symbol, kind, start, "end", body_start)""")
 def python_records(spark: SparkSession, d: str) -> DataFrame:
-    return records.parse(modules(spark, d)).select("file", "symbol", "qualified_symbol", "kind", "start", "end")
+    return records.parse(modules(spark, d)).select("file", "symbol", "qualified_symbol", "kind", "start", "end", "body_start")
 
 
 @query(f"""SELECT 'm' || s_suppkey || '.py#' || qualified_symbol AS id, 'm' || s_suppkey || '.py' AS file, v.* FROM supplier, {_DEFS}""")
