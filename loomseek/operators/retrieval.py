@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import time
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -65,7 +66,7 @@ def dense_batch(vectors: DataFrame, queries: DataFrame, cut: int = 10, key: str
 
     Queries are cut into blocks of about ``block``; each pair of a block and a batch of vectors is one matrix product, of
     which a task passes on its best ``cut`` of each query. A window then ranks what the tasks passed on. One block at a
-    time is on the driver; beyond a few, each block's result is checkpointed, so the plan does not grow with the queries.
+    time is on the driver; beyond a few, each block's result is written to the shared folder, so the plan does not grow with the queries.
     """
     session.ship(vectors.sparkSession)
     blocks = -(-queries.count() // block)
@@ -76,7 +77,10 @@ def dense_batch(vectors: DataFrame, queries: DataFrame, cut: int = 10, key: str
             continue
         m = np.array([r[column] for r in rows], np.float64)
         found = vectors.select(key, column).mapInArrow(_best([r["qid"] for r in rows], m / np.linalg.norm(m, axis=1, keepdims=True), cut), f"qid long, {key} long, score double")
-        found = found.checkpoint() if blocks > FEW_BLOCKS else found
+        if blocks > FEW_BLOCKS:
+            path = f"{session.workspace(vectors.sparkSession)}/loomseek/dense-{uuid.uuid4().hex}"
+            found.write.parquet(path)
+            found = vectors.sparkSession.read.parquet(path)
         parts = found if parts is None else parts.unionAll(found)
     if parts is None:
         parts = vectors.select(F.col(key).alias("qid"), key, F.lit(0.0).alias("score")).where("false")

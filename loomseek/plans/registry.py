@@ -16,6 +16,7 @@ from loomseek import session
 from loomseek.functions import text
 from loomseek.operators import changes, discovery, evaluation, graph, lexical, records, retrieval
 from loomseek.plans import sql
+from loomseek.streaming import follow
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -498,3 +499,19 @@ def html_text(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS batch, user_id, count(*) AS events, max(event_id) AS last_event FROM events GROUP BY ALL")
 def event_coalesce(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("batch"), "user_id").agg(F.count("*").alias("events"), F.max("event_id").alias("last_event"))
+
+
+#: Events as changes of files, in the part of SQL that both engines share.
+_CHANGES = (
+    "event_id AS seq",
+    "CASE user_id % 50 WHEN 0 THEN '.git/HEAD' WHEN 1 THEN 'node_modules/x.js' WHEN 2 THEN 'a/.gitignore' ELSE concat('src/u', user_id, '.py') END AS path",
+    "CASE event_id % 5 WHEN 0 THEN 'modified' WHEN 1 THEN 'created' WHEN 2 THEN 'deleted' WHEN 3 THEN 'moved' ELSE 'opened' END AS kind",
+    "event_id % 7 = 0 AS is_dir",
+)
+
+
+@query(f"""WITH e AS (SELECT {', '.join(_CHANGES)} FROM events)
+SELECT path, max(seq) AS seq, bool_or(path IN ('.git/HEAD', 'a/.gitignore')) AS "full" FROM e
+WHERE kind <> 'opened' AND NOT (is_dir AND kind = 'modified') AND path <> 'node_modules/x.js' GROUP BY path""")
+def coalesced_changes(spark: SparkSession, d: str) -> DataFrame:
+    return follow.coalesced(table(spark, d, "events").selectExpr(*_CHANGES))

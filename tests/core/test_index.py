@@ -177,3 +177,11 @@ def test_a_tree_without_git_is_walked(tmp_path):
     (tmp_path / "link").symlink_to(tmp_path / "a", target_is_directory=True)
     assert tree.listed(tmp_path) == [".hidden/h.txt", "a/_x.py", "a/b/c.txt", "z.md"]
     assert tree.listed(tmp_path, ["a/b", "z.md", "absent"]) == ["a/b/c.txt", "z.md"]
+
+
+def test_dense_batches_beyond_a_few_blocks_are_written(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(60)], "id long, embedding array<float>")
+    asked = rows.where("id < 12").withColumnRenamed("id", "qid")
+    plain = sorted(map(tuple, retrieval.dense_batch(rows, asked, cut=3).collect()))
+    monkeypatch.setattr(retrieval, "FEW_BLOCKS", 1)
+    assert sorted(map(tuple, retrieval.dense_batch(rows, asked, cut=3, block=3).collect())) == plain and len(plain) == 36
