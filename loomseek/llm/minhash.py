@@ -11,23 +11,25 @@ linked, and linked documents form components.
    not all pairs). The collision-corrected estimate from the signatures' bit counts and the set sizes drop hopeless candidates (the
    cut lies more than five standard errors below the threshold); the rest is verified on the full sets.
 4. The texts that resemble a hub at all form its family. Where a family has members of different components, links
-   between them are looked for by exact counts of common shingles, in pairs of blocks of bounded size; no pair
+   between them are looked for in pairs of blocks of bounded size: first the signatures are compared, and members without a partner of
+   another component that is not hopeless leave; the texts of the others are compared by exact counts of common shingles; no pair
    is passed on but links. Two similar texts share a dozen bands on average; for the two to meet in no
    family, each of those buckets would need a hub that resembles neither.
 
 A pair at the threshold shares no band with probability (1 - 0.75^4)^40 = 2.5e-7.
 
 Nulls: a null text has the empty set; a null id is a document that never gives a component its name, and
-is its own (null) component if nothing else is in it. Repeated rows are copies of each other.
+is its own (null) component if nothing else is in it. Repeated rows are copies of each other. An empty table gives no rows;
+other columns, whatever their names, are not read, and ``one_of_each`` returns them as they are.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,33 +62,84 @@ _FACTORS, _TERMS = _SEEDS[SHINGLE : SHINGLE + MINIMA] | np.uint64(1), _SEEDS[SHI
 _BAND_SEEDS = _SEEDS[SHINGLE + 2 * MINIMA :]
 
 
-class WordHashes(dict):
-    """64-bit hashes of words; forgets all of them when it has grown too large."""
+#: Bytes of a text that are hashed at a time; a random number for each byte (capitals as their small letters); powers of an odd number and of its inverse.
+PIECE = 1 << 16
+_BYTES = _mix(np.frombuffer(bytes(range(256)).translate(_LOWER), np.uint8).astype(np.uint64) + np.uint64(1 << 32))
+_POWERS, _INVERSES = (np.multiply.accumulate(np.full(2 * PIECE, b, np.uint64)) for b in (0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)))
+_BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_END = re.compile(rb"[\x20\x09-\x0D]")
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
 
+def _pieces(data: bytes) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Parts of a text that end where a word does: their place, their bytes, and where words start and end in them."""
+    at = 0
+    while at < len(data):
+        end = _END.search(data, at + PIECE) if len(data) - at > PIECE else None
+        end = end.start() if end else len(data)
+        x = np.frombuffer(data, np.uint8, end - at, at)
+        blank = np.ones(len(x) + 2, bool)
+        np.take(_BLANK, x, out=blank[1:-1])
+        edges = np.flatnonzero(blank[1:] != blank[:-1])
+        yield at, x, edges[::2], edges[1::2]
+        at = end
 
-def words_of(data: bytes | None) -> list[bytes]:
-    """The words of a text in UTF-8, with A to Z lowered; splits at the six ASCII blanks only."""
-    return (data or b"").translate(_LOWER).split()
 
+def word_spans(data: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text in UTF-8 start and end in bytes; six ASCII blanks part words."""
+    found = [(at + starts, at + ends) for at, _, starts, ends in _pieces(data or b"")]
+    none = np.empty(0, np.int64)
+    return (np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])) if found else (none, none)
 
-def shingle_hashes(data: bytes | None, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of the shingles."""
-    words = words_of(data)
-    n = len(words)
-    if not n:
-        return np.empty(0, np.uint64)
-    w = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
-    k = min(n, SHINGLE)
-    h = np.full(n - k + 1, (k * 0x9E3779B97F4A7C15) & _M, np.uint64)
+
+def word_hashes(data: bytes | None) -> np.ndarray:
+    """64-bit hashes of the words of a text, A to Z lowered: sums of a number for each byte times a power for its place in the word."""
+    found = [_hashed(x, starts, ends) for _, x, starts, ends in _pieces(data or b"")]
+    return np.concatenate(found) if found else np.empty(0, np.uint64)
+
+
+def batch_hashes(texts: list[bytes | None]) -> list[np.ndarray]:
+    """word_hashes of each text. They are hashed as one, a blank between them, which costs far less than one after another."""
+    parts = [t or b"" for t in texts]
+    whole = b" ".join(parts)
+    ends = np.cumsum([len(t) + 1 for t in parts])
+    starts, _ = word_spans(whole)
+    return np.split(word_hashes(whole), np.searchsorted(starts, ends[:-1])) if parts else []
+
+
+def _hashed(x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    if len(x) > len(_POWERS):  # a very long word is in it: what it has beyond the table repeats the powers, and counts in another number too
+        return np.array([_long(x[i:j]) for i, j in zip(starts, ends, strict=True)], np.uint64)
+    sums = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum(_BYTES[x] * _POWERS[: len(x)], out=sums[1:])
+    # A sum starts with the power of the word's place in the piece, which is taken out again.
+    return _mix((sums[ends] - sums[starts]) * _INVERSES[starts] + (ends - starts).astype(np.uint64))
+
+
+def _long(word: np.ndarray) -> np.uint64:
+    if len(word) <= len(_POWERS):
+        return _hashed(word, np.array([0]), np.array([len(word)]))[0]
+    h = np.zeros(1, np.uint64)
+    for i in range(0, len(word), PIECE):
+        h = _mix(h * _POWERS[:1] + _long(word[i : i + PIECE]))
+    return h[0]
+
+
+def mixed(w: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of every k words in a row."""
+    h = np.full(len(w) - k + 1, (k * 0x9E3779B97F4A7C15) & _M, np.uint64)
     for i in range(k):
-        h += w[i : n - k + 1 + i] * _PLACES[i]
-    return np.unique(_mix(h))
+        h += w[i : len(w) - k + 1 + i] * _PLACES[i]
+    return _mix(h)
+
+
+def shingles(w: np.ndarray) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of a text whose words have the hashes w."""
+    return np.unique(mixed(w, min(len(w), SHINGLE))) if len(w) else w
+
+
+def shingle_hashes(data: bytes | None) -> np.ndarray:
+    """Sorted distinct hashes of the shingles."""
+    return shingles(word_hashes(data))
 
 
 def minima(h: np.ndarray) -> np.ndarray:
@@ -111,12 +164,11 @@ def pack(m: np.ndarray) -> np.ndarray:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
     for b in batches:
         sizes, sigs, bands = [], [], []
         at = b.schema.get_field_index("text_")
-        for data in b.column(at).to_pylist():
-            h = shingle_hashes(data, hashes)
+        for w in batch_hashes(b.column(at).to_pylist()):
+            h = shingles(w)
             m = minima(h)
             sizes.append(len(h))
             sigs.append(pack(m))
@@ -144,13 +196,13 @@ def estimate(x: str, y: str) -> Column:
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keeps the pairs whose full sets are similar. Rows come with equal b mostly together: its set is made once."""
-    hashes, last, mine = WordHashes(), object(), None
+    last, mine = object(), None
     for b in batches:
         keep = []
         for i, (key, x, y) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
             if key != last:
-                last, mine = key, shingle_hashes(y, hashes)
-            other = shingle_hashes(x, hashes)
+                last, mine = key, shingle_hashes(y)
+            other = shingle_hashes(x)
             both = len(np.intersect1d(other, mine, assume_unique=True))
             if both and 100 * both >= PERCENT * (len(other) + len(mine) - both):
                 keep.append(i)
@@ -165,7 +217,7 @@ def _estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na_", "nb_", estimate("sa_", "sb_").alias("estimate_"))
 
 
-def _families(stars: DataFrame, texts: DataFrame, found: DataFrame) -> DataFrame | None:
+def _families(stars: DataFrame, reps: DataFrame, texts: DataFrame, found: DataFrame) -> DataFrame | None:
     """Links between members of one hub that are in different components so far; None if no hub has such members.
 
     A hub's members are dealt to blocks, and each pair of blocks is one group of about 2 * BLOCK texts or 2 * BLOCK_SHINGLES
@@ -178,15 +230,61 @@ def _families(stars: DataFrame, texts: DataFrame, found: DataFrame) -> DataFrame
     mixed = common.staged(mixed, "mixed-families")
     if mixed.isEmpty():
         return None
-    dealt = at.join(mixed, "hub_").withColumn("mine_", F.pmod(F.xxhash64("row_"), F.col("blocks_")).cast("int"))
-    dealt = dealt.withColumn("other_", F.explode(F.sequence(F.lit(0), F.col("blocks_") - 1)))
-    dealt = dealt.select("hub_", F.least("mine_", "other_").alias("i_"), F.greatest("mine_", "other_").alias("j_"), "mine_", "row_", "component").join(texts, "row_")
     keys = ["hub_", "i_", "j_"]
-    return common.staged(dealt.select(*keys, "mine_", "row_", "component", "text_").repartition(*keys).sortWithinPartitions(*keys, "row_").mapInArrow(_compare, "a long, b long"), "family-links")
+
+    def dealt(members: DataFrame) -> DataFrame:
+        each = members.withColumn("mine_", F.pmod(F.xxhash64("row_"), F.col("blocks_")).cast("int")).withColumn("other_", F.explode(F.sequence(F.lit(0), F.col("blocks_") - 1)))
+        return each.select("hub_", F.least("mine_", "other_").alias("i_"), F.greatest("mine_", "other_").alias("j_"), "mine_", "row_", "component")
+
+    in_order = lambda df: df.repartition(*keys).sortWithinPartitions(*keys, "row_")
+    signed = dealt(at.join(mixed, "hub_")).join(reps.select("row_", "n_shingles", "sig_"), "row_").select(*keys, "mine_", "row_", "component", "n_shingles", "sig_")
+    likely = common.staged(in_order(signed).mapInArrow(_compare_signatures, "hub_ long, row_ long").distinct(), "family-likely")
+    left = at.join(likely, ["hub_", "row_"])
+    fewer = left.groupBy("hub_").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size_") / BLOCK_SHINGLES)).cast("int").alias("blocks_"))
+    written = dealt(left.join(fewer, "hub_")).join(texts, "row_").select(*keys, "mine_", "row_", "component", "text_")
+    return common.staged(in_order(written).mapInArrow(_compare, "a long, b long"), "family-links")
+
+
+def _compare_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hub_, row_) of the members of a pair of blocks that may be linked with a member of another component."""
+    key, held = None, []
+
+    def close() -> pa.RecordBatch:
+        rows = likely_members(held, key[1] == key[2])
+        return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(rows), pa.int64()), pa.array(rows, pa.int64())], names=["hub_", "row_"])
+
+    for b in batches:
+        for hub, i, j, *member in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if (hub, i, j) != key:
+                if held:
+                    yield close()
+                key, held = (hub, i, j), []
+            held.append(member)
+    if held:
+        yield close()
+
+
+def likely_members(members: list, one_block: bool) -> list[int]:
+    """Rows of (block, row, component, size, signature) with a partner of another component (and block, unless there is one only) that is not hopeless."""
+    block, row, group, size = (np.array([m[i] for m in members], np.int64) for i in range(4))
+    sig = np.array([m[4] for m in members], np.int64).view(np.uint64).reshape(-1, WORDS_64)
+    found = np.zeros(len(members), bool)
+    chance = 1 / (1 << BITS)
+    most = (1 - chance - LEAST_ESTIMATE * (1 - chance)) * MINIMA  # unequal minima at the least estimate
+    for i in range(len(members)):
+        fits = (group != group[i]) & (100 * np.minimum(size, size[i]) >= PERCENT * np.maximum(size, size[i]))
+        if not one_block:
+            fits &= block != block[i]
+        at = np.flatnonzero(fits)
+        d = sig[at] ^ sig[i]
+        other = np.bitwise_count((d | (d >> np.uint64(1))) & np.uint64(_LOW_BITS)).sum(axis=1)
+        if (other <= most).any():
+            found[i] = True
+    return row[found].tolist()
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes, key, held = WordHashes(), None, []
+    key, held = None, []
 
     def close() -> pa.RecordBatch:
         found = block_links(held, key is not None and key[1] == key[2])
@@ -198,7 +296,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if held:
                     yield close()
                 key, held = (hub, i, j), []
-            held.append((row, component, mine, shingle_hashes(text, hashes)))
+            held.append((row, component, mine, shingle_hashes(text)))
     if held:
         yield close()
 
@@ -242,12 +340,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs without near-duplicates: of each group the row with the smallest id, the first one if rows repeat it."""
-    docs = common.located(docs)
+    names, docs = docs.columns, common.located(docs)
     rows, _ = _grouped(docs)
     first = F.min_by(F.struct("file_", "place_"), F.struct(F.col("doc_id").isNull(), "doc_id", "row_"))
     one = rows.groupBy("group_").agg(first.alias("at_")).select(F.col("at_.file_").alias("of_file_"), F.col("at_.place_").alias("of_place_"))
-    kept = docs.join(one, (F.col(common.FILE) == F.col("of_file_")) & (F.col(common.PLACE) == F.col("of_place_")), "left_semi")
-    return kept.drop(common.FILE, common.PLACE)
+    safe = docs.toDF(*(f"c{i}_" for i in range(len(names))), common.FILE, common.PLACE)
+    kept = safe.join(one, (F.col(common.FILE) == F.col("of_file_")) & (F.col(common.PLACE) == F.col("of_place_")), "left_semi")
+    return kept.drop(common.FILE, common.PLACE).toDF(*names)
 
 
 def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -285,7 +384,7 @@ def _found(docs: DataFrame, base: DataFrame, reps: DataFrame) -> DataFrame:
     whole = near.join(texts.select(F.col("row_").alias("a"), F.col("text_").alias("ta_")), "a").join(texts.select(F.col("row_").alias("b"), F.col("text_").alias("tb_")), "b")
     links = common.staged(whole.select("a", "b", "ta_", "tb_").mapInArrow(_verify, "a long, b long"), "links")
     found = components(links)
-    more_links = _families(stars, texts, found)
+    more_links = _families(stars, reps, texts, found)
     if more_links is not None and not more_links.isEmpty():
         found = components(links.unionAll(more_links))
     return found
