@@ -239,8 +239,9 @@ def _families(stars: DataFrame, reps: DataFrame, texts: DataFrame, found: DataFr
     in_order = lambda df: df.repartition(*keys).sortWithinPartitions(*keys, "row_")
     signed = dealt(at.join(mixed, "hub_")).join(reps.select("row_", "n_shingles", "sig_"), "row_").select(*keys, "mine_", "row_", "component", "n_shingles", "sig_")
     likely = common.staged(in_order(signed).mapInArrow(_compare_signatures, "hub_ long, row_ long").distinct(), "family-likely")
-    left = at.join(likely, ["hub_", "row_"])
-    fewer = left.groupBy("hub_").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size_") / BLOCK_SHINGLES)).cast("int").alias("blocks_"))
+    # Both are written, so that a family of very many members can be split where they meet.
+    left = common.staged(at.join(likely, ["hub_", "row_"]), "family-left")
+    fewer = common.staged(left.groupBy("hub_").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size_") / BLOCK_SHINGLES)).cast("int").alias("blocks_")), "family-blocks")
     written = dealt(left.join(fewer, "hub_")).join(texts, "row_").select(*keys, "mine_", "row_", "component", "text_")
     return common.staged(in_order(written).mapInArrow(_compare, "a long, b long"), "family-links")
 
