@@ -185,6 +185,18 @@ def test_shared_windows_are_covered_by_brute_force(spark):
     assert shared and not missed, (len(missed), len(shared))
 
 
+def test_a_passage_that_a_document_has_twice_is_found_twice(spark):
+    rnd = random.Random(45)
+    make = lambda k: [f"{rnd.choice('abcdefgh')}{rnd.randint(0, 90000)}" for _ in range(k)]
+    one = make(60)
+    twice, once = make(10) + one + make(90) + one + make(10), make(30) + one + make(30)
+    for texts in ((twice, once), (once, twice)):
+        rows = [(i, " ".join(w), None, None, None) for i, w in enumerate(texts)]
+        got = {(r["doc_id"], r["start"], r["end"]) for r in passages.shared_passages(frame(spark, rows).coalesce(1)).collect()}
+        i = texts.index(twice)
+        assert got == {(i, 10, 70), (i, 160, 220), (1 - i, 30, 90)}
+
+
 def test_two_long_runs_with_unequal_words_between(spark):
     rnd = random.Random(42)
     make = lambda k: [f"{rnd.choice('abcdefgh')}{rnd.randint(0, 90000)}" for _ in range(k)]
@@ -253,3 +265,15 @@ def test_toxicity_learns_from_every_labelled_row(spark):
     assert kept.count() == 60 - held
     assert toxicity.learn(docs, labels) == toxicity.learn(docs.repartition(7), labels.repartition(3))
     assert DOCS
+
+
+def test_running_sums_over_batches_of_one_row(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        df = spark.createDataFrame([(i, "ab"[i % 2], i) for i in range(30)], "i long, g string, v long")
+        assert {r["i"]: r["run_v"] for r in common.in_order(df, ["i"], ["v"]).collect()} == {i: i * (i + 1) // 2 for i in range(30)}
+        got = {r["i"]: r["run_v"] for r in common.in_order(df, ["g", "i"], ["v"], within="g").collect()}
+        assert got == {i: sum(range(i % 2, i + 1, 2)) for i in range(30)}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
