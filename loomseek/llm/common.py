@@ -6,10 +6,6 @@ to the driver and to every executor, so a lost executor costs a re-read and neve
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
 import threading
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -31,16 +27,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share. Where none is set (as in local tests) a temporary one is made and set."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir names no folder that the executors share")
-    folder = tempfile.mkdtemp(prefix="loomseek-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{folder}")
-    return f"file://{folder}"
+#: The folder that all machines share.
+shared_dir = session.workspace
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -208,7 +196,7 @@ def _running(sums: list[str], within: str | None):
             cols = []
             for c in sums:
                 total = np.cumsum(b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64))
-                base = np.where(at > 0, total[at - 1], np.where(at == 0, 0, -carry[c]))
+                base = np.where(at > 0, total[np.maximum(at - 1, 0)], np.where(at == 0, 0, -carry[c]))
                 got = total - base
                 carry[c] = int(got[-1])
                 cols.append(pa.array(got))
