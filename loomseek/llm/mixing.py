@@ -129,7 +129,8 @@ def mix(docs: DataFrame, seed: int = 20, weights: tuple[int, ...] = WEIGHTS, mos
         chance = F.least(F.col("draws_") * F.col("size") / F.col("drawn_from_"), F.lit(ALMOST))
         ranked = free.select("rank_of_", "doc_id", "size", "file_", "place_", "draws_", "left_", (odds(uniform(F.col("doc_id"), seed)) / odds(chance)).alias("order_"), F.lit(1).cast("long").alias("one_"))
         ranked = common.staged(common.in_order(ranked, ["rank_of_", "order_", "doc_id", "size", "file_", "place_"], ["one_", "size"], within="rank_of_"), "mixing-order")
-        swaps = _swaps(ranked).select(F.col("rank_of_").alias("swap_of_"), "swaps_")
+        # Written: one short row for each source, so a frequent source's documents need not meet in one task.
+        swaps = common.staged(_swaps(ranked).select(F.col("rank_of_").alias("swap_of_"), "swaps_"), "mixing-swaps")
         pair = F.when(F.col("run_one_") <= F.col("draws_"), F.col("draws_") + 1 - F.col("run_one_")).otherwise(F.col("run_one_") - F.col("draws_"))
         changed = F.coalesce(F.array_contains("swaps_", pair), F.lit(False))
         drawn = ranked.join(swaps, F.col("rank_of_") == F.col("swap_of_"), "left").where((F.col("run_one_") <= F.col("draws_")) != changed)
