@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from loomseek.llm import chat, common, components, decontamination, media, minhash, mixing, passages, secrets, sharding, toxicity, warc
 from pyspark.sql import functions as F
@@ -191,6 +192,78 @@ def test_edited_passages_are_found(spark):
     assert min(recall[k, percent] for k in (55, 80) for percent in (5, 10)) >= 0.9 and recall[80, 15] >= 0.9, recall
 
 
+def test_all_documents_with_a_passage_are_paired(spark):
+    rnd = random.Random(24)
+    make = lambda k: [f"{rnd.choice('abcdefgh')}{rnd.randint(0, 300000)}" for _ in range(k)]
+    shared = make(60)
+    rows = [(i, " ".join(make(30) + shared + make(30)), None, None, None) for i in range(6)]
+    # Edited passages of lines that were first in other documents: no seed over the edits at the lines' ends survives.
+    lines = [make(18) for _ in range(4)]
+    rows += [(10 + j, " ".join(make(60) + line + make(60)), None, None, None) for j, line in enumerate(lines)]
+    rows += [(20 + j, " ".join(make(40) + sum((line[:-1] + make(1) for line in lines), []) + make(40)), None, None, None) for j in range(3)]
+    found = passages.shared_passages(frame(spark, rows).coalesce(1)).collect()
+    got = {(r["doc_id"], r["partner_id"]) for r in found}
+    assert got == {(i, j) for some in (range(6), range(20, 23)) for i in some for j in some if i != j}
+    assert all(r["end"] - r["start"] >= 50 and r["identity"] >= 0.75 for r in found)
+
+
+def test_links_of_a_passage_in_very_many_documents(spark):
+    rnd = random.Random(25)
+    make = lambda k: [f"{rnd.choice('abcdefgh')}{rnd.randint(0, 300000)}" for _ in range(k)]
+    shared, line, n = make(70), make(12), 3 * passages.ALL_PAIRS
+    rows = [(i, " ".join(make(60) + shared + make(60)), None, None, None) for i in range(n)]
+    edited = [w for k, w in enumerate(shared) if k % 16 != 15]
+    rows += [(1000 + i, " ".join(make(60) + edited + make(60)), None, None, None) for i in range(2)]
+    # A frequent line, and an edited passage around it in two documents that are not the first with the line.
+    rows += [(2000 + i, " ".join(make(60) + line + make(60)), None, None, None) for i in range(n)]
+    one, two = make(25), make(25)
+    replaced = [[w if k % 5 else make(1)[0] for k, w in enumerate(part)] for part in (one, two)]
+    rows += [(3000, " ".join(make(60) + one + line + two + make(60)), None, None, None), (3001, " ".join(make(60) + replaced[0] + line + replaced[1] + make(60)), None, None, None)]
+    found = passages.shared_passages(frame(spark, rows).coalesce(1)).collect()
+    # A pair is there, or its documents have 50 words of first ones, which are the same or a pair.
+    of, pairs = defaultdict(set), {(r["doc_id"], r["partner_id"]) for r in found}
+    for r in found:
+        if r["partner_end"] - r["partner_start"] >= 50 and r["identity"] == 1:
+            of[r["doc_id"]].add(r["partner_id"])
+    linked = lambda i, j: any(x == y or (x, y) in pairs for x in of[i] | {i} for y in of[j] | {j})
+    every = [*range(n), 1000, 1001]
+    assert [(i, j) for i in every for j in every if i < j and not linked(i, j)] == []
+    assert len(pairs) < n * n / 2
+    assert {(i, j) for i, j in pairs if i >= 2000} == {(3000, 3001), (3001, 3000)}
+
+
+def test_places_of_a_seed_are_compared_by_brute_force():
+    rnd = np.random.default_rng(26)
+    base = rnd.integers(1, 256, (6, 2 * passages.CONTEXT)).astype(np.uint8)
+    c = base[rnd.integers(0, 6, 90)]
+    for row in c:
+        row[rnd.choice(100, rnd.integers(0, 45), replace=False)] = rnd.integers(1, 256)
+        row[: rnd.integers(0, 12)] = 0
+    rows, ps = np.sort(rnd.integers(0, 70, 90)), np.arange(90, dtype=np.int32)
+    batch = lambda some: pa.RecordBatch.from_arrays([pa.array(np.full(len(some), 7)), pa.array(rows[some]), pa.array(ps[some]), pa.array([c[k].tobytes() for k in some], pa.binary())], names=["seed", "row_", "p", "context"])
+    pairs = lambda made: {(x["p"], x["q"]) for b in made for x in b.to_pylist() if x["b"] is not None}
+    i, j = np.triu_indices(90, 1)
+    equal = passages.common_lengths(c[i, :50], c[j, :50]) + passages.common_lengths(c[i, 50:], c[j, 50:]) + 5
+    same = (c[i] == c[j]) & (c[i] > 0)
+    passage = np.max([same[:, k : k + 45].sum(axis=1) for k in range(5, 51)], axis=0) >= 33  # 38 of 50 words with the seed's
+    may, wanted = ({(int(y), int(x)) for x, y, k in zip(i, j, test, strict=True) if k and rows[x] != rows[y]} for test in (equal >= 36, passage))
+    got = pairs(passages._matched(90, 1000)([batch(range(40)), batch(range(40, 90))]))
+    assert len(wanted) > 20 and wanted <= got <= may < {(int(y), int(x)) for x, y in zip(i, j, strict=True)}
+    first, second = passages.near_pairs(c)
+    assert {(int(y), int(x)) for x, y in zip(first, second, strict=True)} >= wanted
+    # With fewer pairs at once: what is not compared has 50 words of a first place.
+    out = list(passages._matched(4, 16)([batch(range(90))]))
+    places = [x for b in out for x in b.to_pylist() if x["b"] is None]
+    assert len(places) > 16
+    order = [(x["context"], x["a"], x["p"], 7, u, v, x["i"] // 16) for u in range(9) for v in range(u, 9) for x in places if x["i"] // 16 in (u, v)]
+    cols = [pa.array(k) for k in zip(*order, strict=True)]
+    cols[0], cols[2] = cols[0].cast(pa.binary()), cols[2].cast(pa.int32())
+    more = pairs(passages._block_pairs([pa.RecordBatch.from_arrays(cols, names=list("abcdefg"))]))
+    left = {x["p"] for x in places}
+    assert {(x, y) for x, y in wanted if x in left and y in left} <= more <= got
+    assert all(x in left or x in {y for y, _ in pairs(out)} or list(rows).count(rows[x]) > 1 for x in range(90))
+
+
 def test_chain_agrees_with_the_quadratic_recurrence():
     rnd = random.Random(2)
     for _ in range(40):
