@@ -232,6 +232,67 @@ def test_links_of_a_passage_in_very_many_documents(spark):
     assert {(i, j) for i, j in pairs if i >= 2000} == {(3000, 3001), (3001, 3000)}
 
 
+def test_rows_of_near_copies_grow_with_their_number_and_no_link_is_lost(spark, tmp_path):
+    rnd = random.Random(27)
+    make = lambda k: [f"{rnd.choice('abcdefgh')}{rnd.randint(0, 300000)}" for _ in range(k)]
+    base, line = make(150), make(12)
+    near = lambda: [w if rnd.random() > 0.04 else make(1)[0] for w in base]
+    rows = [(i, " ".join(make(20) + near() + make(20)), None, None, None) for i in range(64)]
+    # An edited passage around a frequent line; what its two documents have in common, the first ones with the line have not.
+    rows += [(100 + i, " ".join(make(60) + line + make(60)), None, None, None) for i in range(20)]
+    one, two = make(25), make(25)
+    replaced = [[w if k % 5 else make(1)[0] for k, w in enumerate(part)] for part in (one, two)]
+    rows += [(200, " ".join(make(60) + one + line + two + make(60)), None, None, None), (201, " ".join(make(60) + replaced[0] + line + replaced[1] + make(60)), None, None, None)]
+    sizes = []
+    for n in (16, 64):
+        frame(spark, rows[:n] + rows[64:]).coalesce(1).write.parquet(f"{tmp_path}/{n}/documents.parquet")
+        found = passages.op1(spark, f"{tmp_path}/{n}").collect()
+        pairs = {(r["doc_id"], r["partner_id"]) for r in found}
+        sizes.append(len(pairs))
+        links = spark.createDataFrame(list(pairs), "a long, b long")
+        assert {r["node"]: r["component"] for r in components.components(links).collect()} == {**dict.fromkeys(range(n), 0), 200: 200, 201: 200}
+    assert sizes[1] <= 6 * sizes[0] < 6 * 16 * 15, sizes
+
+
+def test_links_join_what_all_plausible_pairs_join():
+    rnd = np.random.default_rng(28)
+    for n, all_pairs, block in ((12, 12, 1000), (90, 12, 1000), (90, 4, 16)):
+        base = rnd.integers(1, 256, (6, 2 * passages.CONTEXT)).astype(np.uint8)
+        c = base[rnd.integers(0, 6, n)]
+        for row in c:
+            row[rnd.choice(100, rnd.integers(0, 45), replace=False)] = rnd.integers(1, 256)
+        rows, ps = np.sort(rnd.integers(0, 70, n)), np.arange(n, dtype=np.int32)
+        i, j = np.triu_indices(n, 1)
+        good = passages.plausible(c, i, j) & (rows[i] != rows[j])
+        every = passages.forest(np.arange(n), i[good], j[good])[1]
+
+        def batch(failed, rows=rows, ps=ps, c=c, n=n):
+            k = len(failed)
+            cols = [np.full(n + k, 7), [*rows.tolist(), *(int(rows[y]) for x, y in failed)], [*ps.tolist(), *(y for x, y in failed)]]
+            cols = [pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.int32()), strict=True)]
+            more = [[None] * n + [int(rows[x]) for x, y in failed], [None] * n + [x for x, y in failed], [None] * n + [False] * k]
+            cols += [pa.array([*(x.tobytes() for x in c), *[None] * k], pa.binary()), *(pa.array(x, t) for x, t in zip(more, (pa.int64(), pa.int32(), pa.bool_()), strict=True))]
+            return pa.RecordBatch.from_arrays(cols, names=["seed", "row_", "p", "context", "b", "q", "holds"])
+
+        def links(failed, few, all_pairs=all_pairs, block=block):
+            out = [x for b in passages._linked(few, bool(failed), all_pairs, block)([batch(failed)]) for x in b.to_pylist()]
+            left = [x for x in out if x["b"] is None]
+            numbers = range(len(left) // block + 1)
+            dealt = [(x["context"], x["a"], x["p"], 7, u, v, x["i"] // block, x["label"]) for u in numbers for v in numbers if u <= v for x in left if x["i"] // block in (u, v)]
+            if dealt:
+                cols = [pa.array(k) for k in zip(*dealt, strict=True)]
+                cols[0] = cols[0].cast(pa.binary())
+                out += [x for b in passages._block_links(few)([pa.RecordBatch.from_arrays(cols, names=list("abcdefgh"))]) for x in b.to_pylist()]
+            return {(min(x["p"], x["q"]), max(x["p"], x["q"])) for x in out if x["b"] is not None}
+
+        first = links([], True)
+        assert first <= set(zip(i[good].tolist(), j[good].tolist(), strict=True))
+        assert np.array_equal(passages.forest(np.arange(n), *np.array(sorted(first)).T)[1], every)
+        assert len(first) < good.sum() / 2 if n > 12 else len(first) == n - len(set(every.tolist()))
+        if n == 12:  # all that were tried have failed: the others are tried
+            assert links(sorted(first), False) == set(zip(i[good].tolist(), j[good].tolist(), strict=True)) - first
+
+
 def test_places_of_a_seed_are_compared_by_brute_force():
     rnd = np.random.default_rng(26)
     base = rnd.integers(1, 256, (6, 2 * passages.CONTEXT)).astype(np.uint8)
